@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from codeloom.llm import parsing
+from codeloom.llm import descriptions, parsing
 
-_PARTS = [parsing]
+_PARTS = [parsing, descriptions]
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
