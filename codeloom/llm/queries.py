@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from codeloom.llm import descriptions, parsing, personal
+from codeloom.llm import descriptions, parsing, personal, tokens
 
-_PARTS = [parsing, descriptions, personal]
+_PARTS = [parsing, descriptions, tokens, personal]
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
