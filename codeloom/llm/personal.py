@@ -53,8 +53,8 @@ ADDRESSES = [
     (re.compile(r"\d.{0,8}\b(?:rue|r\.|av|ave|boulevard|bd|boul|chemin|ch\.|place|pl\.|quai|impasse|imp|allée|all\.|route|rte|cours|square|sentier|passage|faubourg|fg|voie|villa|cité|ruelle|montée|promenade|esplanade)", re.I), re.compile(
         rf"(?<![\w.])\d{{1,5}}(?: ?(?:bis|ter|quater|[a-d](?![\w])))?,? (?:rue|r\.|avenue|av\.|ave\.|boulevard|bd\.?|boul\.|chemin|ch\.|place|pl\.|quai|impasse|imp\.|allée|all\.|route|rte|cours|square|sentier|passage|faubourg|fg|voie|villa|cité|ruelle|montée|promenade|esplanade)(?: (?:de la|de l['’]|des|du|de|d['’]|la|le|les|l['’]|sous|sur|aux?|à|en))*[ ]?{_W}(?:[ -](?:(?:de|des|du|la|le|les|et|sur|sous|aux?|d['’]|l['’])[ -]?)*{_W})*"
     )),
-    (re.compile(r"(?:str\.|straße|strasse|gasse|weg|allee|platz|ufer|damm|ring|steig|chaussee|pfad|graben|markt|hof|berg|tor|turm|brücke|zeile|stieg|wall|\b(?:Am|An|Auf|Im|In|Zum|Zur|Unter|Hinter|Beim|Vor|Alte|Neue|Große|Kleine)[rsn]?\b.{1,40}?) \d"), re.compile(
-        rf"(?<![\w.])(?:(?:{_W} ){{0,2}}{_W}(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm|ring|steig|chaussee|pfad|graben|markt|hof|berg|tor|turm|brücke|zeile|stieg|wall)|(?:Am|An der|An den|Auf dem|Auf der|Im|In der|In den|Zum|Zur|Unter den|Hinter der|Hinter dem|Beim|Vor dem|Alte[rsn]?|Neue[rsn]?|Große[rsn]?|Kleine[rsn]?) (?:{_W} )?{_W}|{_W}(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm|ring)) \d{{1,5}}(?: ?[a-z](?![\w]))?"
+    (re.compile(r"(?:[Ss]tr\.|[Ss]traße|[Ss]trasse|[Gg]asse|[Ww]eg|[Aa]llee|[Pp]latz|[Uu]fer|[Dd]amm|[Rr]ing|[Ss]teig|chaussee|pfad|graben|[Mm]arkt|[Hh]of|berg|tor|turm|brücke|zeile|stieg|wall|\b(?:Am|An|Auf|Im|In|Zum|Zur|Unter|Hinter|Beim|Vor|Alte|Neue|Große|Kleine)[rsn]?\b.{1,40}?) \d"), re.compile(
+        rf"(?<![\w.])(?:(?:{_W} ){{0,2}}{_W}(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm|ring|steig|chaussee|pfad|graben|markt|hof|berg|tor|turm|brücke|zeile|stieg|wall)|(?:Am|An der|An den|Auf dem|Auf der|Im|In der|In den|Zum|Zur|Unter den|Hinter der|Hinter dem|Beim|Vor dem|Alte[rsn]?|Neue[rsn]?|Große[rsn]?|Kleine[rsn]?) (?:{_W} )?{_W}|{_W}(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm|ring)|(?:{_W} )?{_W}[- ](?:Straße|Strasse|Str\.|Gasse|Weg|Allee|Platz|Ufer|Damm|Ring|Steig|Markt|Hof)) \d{{1,5}}(?: ?[a-z](?![\w]))?"
     )),
     (re.compile(r"\b(?:Calle|C/|C\.|Cl\.|Av|Paseo|P\.º|Pº|Pl|Pza|Camino|Cno|Cam\.|Carretera|Ctra|Ronda|Rda|Trav|Callejón|Glorieta|Gta|Vía|Cuesta|Rambla).{1,60}?\d"), re.compile(
         rf"(?<![\w.])(?:Calle|C/|C\.|Cl\.|Avenida|Avda\.?|Av\.|Paseo|P\.º|Pº|Plaza|Pl\.|Pza\.|Camino|Cno\.|Cam\.|Carretera|Ctra\.|Ronda|Rda\.|Travesía|Trav\.|Callejón|Glorieta|Gta\.|Vía|Cuesta|Rambla) ?(?:(?:de la|de los|de las|del|de|la|el|los|las) )*{_W}(?: (?:(?:de la|de los|de las|del|de|la|el|y) )*{_W})*,? (?:n\.?º ?|núm\. )?\d{{1,5}}(?: ?(?:bis|ter|[A-Za-z](?![\w])))?"

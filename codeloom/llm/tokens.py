@@ -28,7 +28,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF_CHARS = 2048
 WINDOW_CHARS = 64
-_CUT = re.compile(r"(?<=\S)(?=\s)")
+_CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")  # white space to Python and to the tokenizer
 _READY: dict[str, object] = {}
 
 
