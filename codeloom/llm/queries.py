@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from codeloom.llm import descriptions, leaks, parsing, personal, tokens
+from codeloom.llm import authorship, descriptions, leaks, parsing, personal, tokens
 
-_PARTS = [parsing, descriptions, tokens, leaks, personal]
+_PARTS = [authorship, parsing, descriptions, tokens, leaks, personal]
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
