@@ -54,7 +54,7 @@ class Grammar:
         self.words = {w: _KEYWORD_CHARS[k] for k, w in enumerate(self.keywords.split())}
         self.all_words = "[" + "".join(self.words.values()) + "i]"
         ops = "|".join(map(re.escape, _OPS))
-        self.token = re.compile(rf"[ \t\r\f\v ﻿]+|\n\s*|{self.special}|[^\W\d][\w$]*|\$[\w$]*|\.?\d(?:[\w.]|(?<=[eEpP])[+-])*|[()\[\]{{}}]|{ops}|.", re.S)
+        self.token = re.compile(rf"{self.special}|[ \t\r\f\v ﻿]+|\n(?:\s*\n)?|[^\W\d][\w$]*|\$[\w$]*|\.?\d(?:\w|\.(?![._]|[A-Za-z]{{2}})|(?<=[eEpP])[+-])*|[()\[\]{{}}]|{ops}|.", re.S)
         base = OPERATORS | dict(zip(BRACKETS, BRACKETS)) | self.words
         grammar = self
 
@@ -77,7 +77,7 @@ class Grammar:
 
     def classify(self, text: str, table: dict) -> str:
         first = text[0]
-        if first == "\n" or first in " \t\r\f\v ﻿":
+        if first == "\n" or first in " \t\r\f\v\u00a0\ufeff":
             return "\n" if self.newlines and "\n" in text else ""
         if first.isalpha() or first in "_$" or first.isidentifier():
             if len(table) > MEMO_LIMIT:
@@ -493,7 +493,7 @@ class Rust(Grammar):
         self.rules["I"] = f"[i{w['union']}{w['Self']}]"
         self.rules["SEP"] = r"(?:,|(?=\Z))"
         self.rule("SEG", "I | 'self' | 'super' | 'crate'")
-        self.rule("PATH", "'::' ? SEG ( '::' SEG ) *", True)
+        self.rule("PATH", "'::' ? SEG ( '::' '::' ? SEG ) *", True)
         self.rules["LIFE"] = "L"
         self.rule("TYPEHEAD", "( '&' LIFE ? 'mut' ? | '*' ( 'const' | 'mut' ) | 'dyn' | 'impl' ) *", True)
         self.rule("TYPEATOM", "TYPEHEAD ( 'for' ? PATH ( P.types ( '->' TYPEHEAD ( PATH | P.types | S.types ) ) ? ) ? | P.types | S.types | '!' | '?' PATH | LIFE | 'unsafe' ? ( 'extern' 'string' ? ) ? 'fn' P.params ( '->' TYPEHEAD ( PATH | P.types ) ) ? )")
@@ -507,7 +507,7 @@ class Rust(Grammar):
         self.rule("CLOSURE", "'async' ? 'move' ? ( '|' '|' | '|' PAT1 ( ':' TYPE ) ? ( ',' PAT1 ( ':' TYPE ) ? ) * '|' ) ( '->' TYPE ) ?", True)
         self.rule("PREFIX", "'&' 'mut' ? | '*' | '!' | '-' | CLOSURE | 'return' | 'break' LIFE ? | '...'")
         self.rule("LEAF", "PATH ( '!' ( P.any | S.any | B.any ) ) ? | 'number' | 'string' | 'true' | 'false' | P.args | S.array | 'continue' LIFE ?")
-        self.rule("POSTFIX", "'.' ( I | 'number' | 'await' ) | P.args | S.array | '?' | 'as' TYPE | '...'")
+        self.rule("POSTFIX", "'.' ( I | 'number' | 'await' ) | '::' ? P.args | S.array | '?' | 'as' TYPE | '...'")
         binary = self.compile("'/' ( 'let' PAT '=' ) ? | '-' | '*' | '&' | '|' '|' ? | '<' '<' ? | '>' '>' ? | '=' | '...'")
         first = r"[i0s!Lc" + "".join(w[x] for x in "self Self super crate true false union if match loop for while unsafe return break continue move".split()) + "-]"
         tail = r"(?<![b\-*&|<>=])"
