@@ -27,6 +27,8 @@ from codeloom.plans.scratch import Scratch
 
 MAX_LINKS = 250_000
 OUT_ROWS = 20_000
+#: Levels after which a growing union is written, so that plans stay small however deep a graph is.
+PLAN_LEVELS = 8
 SCHEMAS = {
     "roots": "node_id string, root_id string, tree_depth int",
     "paths": "node_id string, root_id string, tree_depth int, path array<string>",
@@ -224,6 +226,7 @@ def _by_joins(links: DataFrame, scratch: Scratch, what: str) -> DataFrame:
             wider = level.select("node_id", F.col("descendant_id").alias("source")).join(steps, "source").select("node_id", F.col("target").alias("descendant_id")).distinct()
             level = scratch.spool(wider.join(known, ["node_id", "descendant_id"], "left_anti").withColumn("distance", F.lit(distance)))
             known = known.unionByName(level)
+            known = scratch.spool(known) if distance % PLAN_LEVELS == 0 else known
         return known
     # A back edge of some traversal order: one link of each cycle at least lies among tainted nodes
     # of the same strongly connected part; forward-backward reachability of the hashes finds them.
@@ -242,8 +245,11 @@ def _cycle_links(links: DataFrame, tainted: DataFrame, scratch: Scratch) -> Data
         live, old = scratch.spool(live.join(live.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")), live
         scratch.drop(old)
     known = level = live.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
+    step = 0
     while not level.isEmpty():
+        step += 1
         wider = level.join(live.select(F.col("source").alias("b"), F.col("target").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
         level = scratch.spool(wider.join(known, ["a", "b"], "left_anti"))
         known = known.unionByName(level)
+        known = scratch.spool(known) if step % PLAN_LEVELS == 0 else known
     return live.where("source >= target").join(known.select(F.col("a").alias("target"), F.col("b").alias("source")), ["source", "target"], "left_semi")
