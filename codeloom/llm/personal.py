@@ -240,18 +240,27 @@ def with_gazetteer(spans: DataFrame) -> DataFrame:
 
 
 LABELERS = ((1, 2), (4, 8), (16, 32), (64, 128))
-#: The least probability of a strict format, or of a person's context, that nothing speaks against.
-TRUSTED = 0.9
+#: Prior log odds, beside the labelers' votes, of a strict format or a person's context that nothing speaks against;
+#: taken off a counter-context without a context, and a bare guess of a name. Votes and classifier can overturn it.
+LEANING = 2.0
 #: Starting points of the estimation: (chance to vote for, chance to vote against) a true item, and a false one.
 PRIOR = (((0.95, 0.01), (0.6, 0.3)), ((0.8, 0.05), (0.2, 0.2)), ((0.5, 0.1), (0.05, 0.5)), ((0.01, 0.02), (0.01, 0.5)))
 
 
+def leaning(kind: str, votes: int) -> float:
+    """The prior log odds of a pattern."""
+    if (votes & 128 and not votes & 4) or (kind == "name" and not votes & 4 and not votes & 16):
+        return -LEANING
+    return LEANING if votes & (4 if kind == "name" else 1) and not votes & 128 else 0.0
+
+
 def estimate(counts: dict[tuple[str, int], int], rounds: int = 30) -> dict[tuple[str, int], float]:
     """The probability that a span of each (type, votes) is a true item, by expectation maximisation."""
     result = {}
     for kind in {k for k, _ in counts}:
         patterns = [v for k, v in counts if k == kind]
         n = np.array([counts[kind, v] for v in patterns], float)
+        lean = np.array([leaning(kind, v) for v in patterns])
         votes = np.array([[0 if v & a else 1 if v & b else 2 for a, b in LABELERS] for v in patterns])
         share = 0.7
         rates = np.array([[[t[0], t[1], 1 - sum(t)] for t in p] for p in PRIOR])  # labeler, true/false, vote
@@ -260,20 +269,14 @@ def estimate(counts: dict[tuple[str, int], int], rounds: int = 30) -> dict[tuple
             logs = np.log(rates)
             true = np.log(share) + sum(logs[j, 0, votes[:, j]] for j in range(len(LABELERS)))
             false = np.log(1 - share) + sum(logs[j, 1, votes[:, j]] for j in range(len(LABELERS)))
-            p = 1 / (1 + np.exp(np.clip(false - true, -50, 50)))
+            p = 1 / (1 + np.exp(np.clip(false - true - lean, -50, 50)))
             share = float(np.clip((n * p).sum() / n.sum(), 0.02, 0.98))
             for j in range(len(LABELERS)):
                 for v in range(3):
                     rates[j, 0, v] = anchor[j, 0, v] + (n * p)[votes[:, j] == v].sum()
                     rates[j, 1, v] = anchor[j, 1, v] + (n * (1 - p))[votes[:, j] == v].sum()
                 rates[j] /= rates[j].sum(axis=1, keepdims=True)
-        for v, x in zip(patterns, p):
-            # A counter-context on a bare format, or a bare guess of a name, is no item whatever the shares.
-            if v & 128 or (kind == "name" and not v & 4 and not v & 16):
-                x = min(x, 0.02)
-            elif v & (4 if kind == "name" else 1):
-                x = max(x, TRUSTED)
-            result[kind, v] = float(x)
+        result |= {(kind, v): float(x) for v, x in zip(patterns, p)}
     return result
 
 
@@ -294,6 +297,13 @@ def train(features: list[list[int]], target: list[float], rounds: int = 60) -> n
     return weights
 
 
+def verdict(chance: float, z: float) -> float:
+    """The probability by the pattern's chance and the classifier's log odds, which weigh the same."""
+    p = min(max(chance, 1e-4), 1 - 1e-4)
+    limit = np.log((1 - 1e-4) / 1e-4)
+    return float(1 / (1 + np.exp(-(np.log(p / (1 - p)) + np.clip(z, -limit, limit)) / 2)))
+
+
 def personal_items(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, start, stop, pii_type, pii_value, probability of every accepted span, without overlaps."""
     spans = map_rows(documents.select("doc_id", "text").where("text is not null"), _spans, _SPAN, _SPAN_ARROW)
@@ -305,10 +315,8 @@ def personal_items(documents: DataFrame, scratch: Scratch) -> DataFrame:
     weights = train([r[2] for r in sample], [chance[r[0], r[1]] for r in sample])
 
     def score(doc_id, start, stop, kind, votes, value, features):
-        p = min(max(chance[kind, votes], 1e-4), 1 - 1e-4)
         z = float(weights[np.asarray(features, int)].sum() + weights[-1])
-        q = 1 / (1 + np.exp(-(2 * np.log(p / (1 - p)) + np.clip(z, -4, 4)) / 2))
-        yield doc_id, start, stop, kind, value, float(q)
+        yield doc_id, start, stop, kind, value, verdict(chance[kind, votes], z)
 
     arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("pii_type", pa.string()), ("pii_value", pa.string()), ("probability", pa.float64())])
     scored = map_rows(spans.select("doc_id", "start", "stop", "pii_type", "votes", "pii_value", "features"), score, "doc_id long, start int, stop int, pii_type string, pii_value string, probability double", arrow)

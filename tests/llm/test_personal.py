@@ -1,6 +1,6 @@
 import pytest
 
-from codeloom.llm.personal import candidates, estimate, personal_items, redacted
+from codeloom.llm.personal import candidates, estimate, personal_items, redacted, verdict
 from codeloom.plans.scratch import Scratch
 
 CASES = [
@@ -38,3 +38,12 @@ def test_rows(spark):
     texts = {r["doc_id"]: r["text"] for r in redacted(docs, Scratch(spark, "t")).collect()}
     assert texts[0] == "Reported by [NAME] ([EMAIL])." and texts[50] is None and texts[51] == "" and len(texts) == len(rows)
     assert personal_items(docs.where("false"), Scratch(spark, "t")).count() == 0
+
+
+def test_votes_and_classifier_can_overturn_rules(spark):
+    assert verdict(0.9, -9.0) < 0.5 < verdict(0.02, 9.0)
+    seen = {("phone", 5): 300, ("phone", 1): 20}
+    assert estimate(seen | {("phone", 133): 300})["phone", 133] > 0.5 > estimate(seen | {("phone", 129): 300})["phone", 129]
+    rows = [(i, f"tel=+49 30 90{i:04d} rings") for i in range(60)] + [(i, f"build +49 30 90{i:04d} passed") for i in range(100, 130)] + [(i, f"call +49 30 90{i:04d} today") for i in range(200, 260)]
+    found = {r["doc_id"] for r in personal_items(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
+    assert found == {*range(60), *range(200, 260)}
