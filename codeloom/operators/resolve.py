@@ -62,11 +62,11 @@ scored AS (SELECT *, CASE WHEN n_file = file_path THEN 100 ELSE 0 END + near + C
 best AS (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY score DESC, id) AS rank FROM scored)"""
 
 
-def exact_matches(g: GraphStore) -> DataFrame:
+def exact_matches(g: GraphStore, refs: DataFrame | None = None) -> DataFrame:
     """The best node of a reference's name, with the confidence of the match; names of many nodes are declined."""
     targets = g.nodes.where(F.col("kind").isin(*CALLABLE)).select("id", "name", F.col("language").alias("n_language"), F.col("file_path").alias("n_file"), F.col("kind").alias("n_kind"), F.coalesce("is_exported", F.lit(False)).alias("exported"))
     names = targets.groupBy("name").agg(count_rows().alias("c")).where(F.col("c") <= CEILING)
-    refs = named_refs(g)
+    refs = named_refs(g) if refs is None else refs
     rows = refs.join(names, refs["tail"] == names["name"]).drop("name").join(targets, F.col("tail") == F.col("name"))
     near = X.proximity(F.col("r_file"), F.col("n_file"))
     score = F.when(F.col("n_file") == F.col("r_file"), 100).otherwise(0) + F.col("near") + F.when(F.col("n_language") == F.col("r_language"), 50).otherwise(-50) + F.when(F.col("n_kind").isin("function", "method"), 25).otherwise(15) + F.when(F.col("exported"), 10).otherwise(0)
@@ -101,22 +101,86 @@ def function_refs(g):
     return refs.join(targets, ["tail", "r_file"]).groupBy("from_node_id", "reference_name", "line", "col").agg(F.min("id").alias("id"))
 
 
+# Languages whose symbols reach one another, and those where a bare name is no method. Fixed values.
+FAMILIES = {"java": "jvm", "kotlin": "jvm", "scala": "jvm", "swift": "apple", "objc": "apple", "typescript": "web", "tsx": "web", "javascript": "web", "jsx": "web", "arkts": "web", "c": "c", "cpp": "c", "csharp": "dotnet", "razor": "dotnet"}
+BARE_FUNCTIONS = ("typescript", "tsx", "javascript", "jsx", "arkts", "cpp", "python", "php")
+KEY = ("from_node_id", "reference_name", "line", "col")
+
+
+def _family(language: str):
+    return F.coalesce(*(F.when(F.col(language) == k, v) for k, v in FAMILIES.items()), F.col(language))
+
+
+def ladder_matches(g: GraphStore) -> DataFrame:
+    """The node of a reference by the first matcher that has one: functions as values (for their references
+    alone), else qualified names, exact names, names without case."""
+    refs = named_refs(g)
+    value = F.coalesce(F.col("reference_kind") == "function_ref", F.lit(False))
+    values, plain = refs.where(value), refs.where(~value)
+    targets = g.nodes.select("id", "name", "qualified_name", F.col("language").alias("n_language"), F.col("file_path").alias("n_file"), F.col("kind").alias("n_kind"), F.coalesce("start_line", F.lit(0)).alias("start_line"))
+    out, same = [*KEY, "reference_kind", "id", "n_kind", "confidence", "rung"], F.col("n_file") == F.col("r_file")
+    scoped = F.col("reference_name").contains("::")
+
+    def best(rows: DataFrame, order: tuple) -> DataFrame:
+        counts = rows.groupBy(*KEY, "reference_kind").agg(count_rows().alias("c"), F.count_if(same).alias("c_same"), F.min(F.struct((~same).alias("far"), *order, "n_kind")).alias("m"))
+        return counts.select(*KEY, "reference_kind", "c", "c_same", "m.id", "m.n_kind")
+
+    allowed = (F.col("n_kind") == "function") | ((F.col("n_kind") == "method") & (scoped | ~F.col("r_language").isin(*BARE_FUNCTIONS))) | ((F.col("n_kind") == "class") & (F.col("r_language") == "python") & ~scoped)
+    named = F.when(scoped, (F.col("qualified_name") == F.col("reference_name")) | F.expr("endswith(qualified_name, '::' || reference_name)")).otherwise(~F.col("reference_name").startswith("this."))
+    functions = values.join(targets, values["tail"] == targets["name"]).where(allowed & named & (_family("n_language") == _family("r_language")) & (F.col("id") != F.col("from_node_id")))
+    functions = best(functions, ("start_line", "id")).where("c_same > 0 or c = 1")
+    functions = functions.withColumn("confidence", F.when(scoped, 0.9).when(F.col("c_same") == 1, 0.95).when(F.col("c_same") > 1, 0.9).otherwise(0.8)).withColumn("rung", F.lit(1))
+
+    dotted = plain.where(F.col("reference_name").contains(".") | scoped)
+    no_key = ~((F.col("reference_kind") == "calls") & (F.col("n_kind") == "constant") & F.col("n_language").isin("yaml", "properties"))
+    whole = best(dotted.join(targets, dotted["reference_name"] == targets["qualified_name"]).where(no_key), ("id",)).where("c_same > 0 or c = 1").withColumn("confidence", F.lit(0.95)).withColumn("rung", F.lit(2))
+    part = best(dotted.join(targets, dotted["tail"] == targets["name"]).where(no_key & F.expr("endswith(qualified_name, reference_name)")), ("id",)).withColumn("confidence", F.lit(0.85)).withColumn("rung", F.lit(3))
+    exact = exact_matches(g, plain).withColumn("rung", F.lit(4))
+
+    single = targets.where(F.col("n_kind").isin(*CALLABLE)).groupBy(F.lower("name").alias("low")).agg(count_rows().alias("c"), *(F.min(x).alias(x) for x in ("id", "n_kind", "n_language"))).where("c = 1")
+    unknown = plain.join(targets.select(F.col("name").alias("tail")), "tail", "left_anti").withColumn("low", F.lower("tail"))
+    fuzzy = unknown.join(single, "low").withColumn("confidence", F.when(F.col("n_language") == F.col("r_language"), 0.5).otherwise(0.3)).withColumn("rung", F.lit(5))
+
+    rows = functions.select(out)
+    for more in (whole, part, exact, fuzzy):
+        rows = rows.unionByName(more.select(out))
+    order = Window.partitionBy(*KEY).orderBy("rung", F.desc("confidence"), "id")
+    return rows.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
+
+
+@query("r03_ladder")
+def ladder(g):
+    """Matches of the whole ladder; rungs: 1 function as value, 2 and 3 qualified name and its end, 4 exact, 5 without case."""
+    return ladder_matches(g).select(*KEY, "id", "confidence", "rung")
+
+
 @query("r13_new_edges", f"SELECT from_node_id AS source, id AS target, CASE WHEN reference_kind = 'calls' AND n_kind IN ('class', 'struct') THEN 'instantiates' WHEN reference_kind = 'extends' AND n_kind = 'interface' THEN 'implements' WHEN reference_kind = 'function_ref' THEN 'references' ELSE reference_kind END AS kind, line, col, {_CONF} AS confidence FROM best WHERE rank = 1 AND {_CONF} >= 0.5", _Q + ", " + _MATCH)
-def new_edges(g, least: float = 0.5):
-    """Edges that resolved references become."""
+def new_edges(g, least: float = 0.5, matches=exact_matches):
+    """Edges that resolved references become; by the exact matcher alone, as the SQL has it."""
     kind = F.when((F.col("reference_kind") == "calls") & F.col("n_kind").isin("class", "struct"), "instantiates").when((F.col("reference_kind") == "extends") & (F.col("n_kind") == "interface"), "implements").when(F.col("reference_kind") == "function_ref", "references").otherwise(F.col("reference_kind"))
-    return exact_matches(g).where(F.col("confidence") >= least).select(F.col("from_node_id").alias("source"), F.col("id").alias("target"), kind.alias("kind"), "line", "col", "confidence")
+    return matches(g).where(F.col("confidence") >= least).select(F.col("from_node_id").alias("source"), F.col("id").alias("target"), kind.alias("kind"), "line", "col", "confidence")
 
 
 @query("r14_admission", f"SELECT outcome, count(*) AS n_refs FROM (SELECT CASE WHEN b.id IS NOT NULL AND {_CONF.replace('c =', 'b.c =').replace('n_language', 'b.n_language').replace('= language', '= b.language').replace('near', 'b.near')} >= 0.5 THEN 'resolved' ELSE 'failed' END AS outcome FROM q LEFT JOIN best b ON b.rank = 1 AND b.from_node_id = q.from_node_id AND b.reference_name = q.reference_name AND b.line IS NOT DISTINCT FROM q.line AND b.col IS NOT DISTINCT FROM q.col) GROUP BY outcome", _Q + ", " + _MATCH)
-def admission(g, least: float = 0.5):
-    done = exact_matches(g).where(F.col("confidence") >= least).select("from_node_id", "reference_name", "line", "col").distinct().withColumn("ok", F.lit(True))
+def admission(g, least: float = 0.5, matches=exact_matches):
+    done = matches(g).where(F.col("confidence") >= least).select("from_node_id", "reference_name", "line", "col").distinct().withColumn("ok", F.lit(True))
     refs, key = named_refs(g), ("from_node_id", "reference_name", "line", "col")
     same = [refs[k].eqNullSafe(done[k]) for k in key]
     joined = refs.join(done, same, "left")
     return joined.groupBy(F.when(F.col("ok"), "resolved").otherwise("failed").alias("outcome")).agg(count_rows().alias("n_refs"))
 
 
+@query("r13_ladder_edges")
+def ladder_edges(g):
+    """Edges that references resolved by the whole ladder become."""
+    return new_edges(g, matches=ladder_matches)
+
+
+@query("r14_ladder_admission")
+def ladder_admission(g):
+    return admission(g, matches=ladder_matches)
+
+
 @query("r17_retry_failed", f"SELECT {_KEY} FROM r WHERE status = 'failed' AND name_tail IN (SELECT name_tail FROM r WHERE status = 'failed' GROUP BY name_tail HAVING count(*) <= {CEILING}) AND name_tail IN (SELECT name FROM n)")
 def retry_failed(g):
     """Failed references whose name has a node now."""

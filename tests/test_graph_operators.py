@@ -6,9 +6,11 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.operators import resolve
 from codeloom.operators.components import connected_components
 from codeloom.operators.hierarchy import hierarchy, traverse
 from codeloom.operators.skew import skewed_key_counts
+from codeloom.operators.store import GraphStore
 from codeloom.plans.scratch import Scratch
 
 
@@ -133,3 +135,33 @@ def test_skewed_counts(spark, parts):
 def test_skewed_counts_of_nothing(spark):
     df = spark.createDataFrame([], "target string, kind string, source string")
     assert skewed_key_counts(df, "target", "kind", "source").count() == 0
+
+
+def write_graph(spark, path, nodes, edges=(), refs=()):
+    made = [
+        ("nodes", "id kind name qualified_name file_path language", nodes, ["start_line int", "updated_at long", "is_exported boolean"]),
+        ("edges", "source target kind provenance", edges, ["line int", "col int", "metadata string"]),
+        ("unresolved_refs", "from_node_id reference_name reference_kind file_path language", refs, ["line int", "col int", "status string", "name_tail string"]),
+    ]
+    absent = [*"end_line start_column end_column docstring signature visibility is_async is_static is_abstract decorators return_type".split()]
+    for name, columns, rows, more in made:
+        df = spark.createDataFrame(list(rows), ", ".join(f"{c} string" for c in columns.split()))
+        for c in [*more, *(f"{a} string" for a in absent if name == "nodes")]:
+            df = df.withColumn(c.split()[0], F.lit(1 if c == "updated_at long" else None).cast(c.split()[1]))
+        df.write.parquet(f"{path}/{name}.parquet")
+    return GraphStore(spark, str(path))
+
+
+def test_ladder_resolves_more_than_exact_names(spark, tmp_path):
+    nodes = [
+        ("a", "function", "main", "main", "x.py", "python"), ("b", "function", "loadAll", "loadAll", "y.py", "python"),
+        ("c", "method", "run", "Job::run", "y.py", "python"), ("d", "method", "run", "Other::run", "z.py", "python"),
+        ("e", "function", "hook", "hook", "x.py", "python"), ("f", "function", "hook", "hook", "y.py", "python"), ("g", "function", "goOnly", "goOnly", "w.go", "go"),
+    ]
+    refs = [("a", n, k, "x.py", "python") for n, k in (("loadall", "calls"), ("Job::run", "calls"), ("hook", "function_ref"), ("goonly", "calls"), ("nothing", "calls"))]
+    g = write_graph(spark, tmp_path, nodes, refs=refs)
+    found = {(r["reference_name"], r["id"], r["confidence"], r["rung"]) for r in resolve.ladder_matches(g).collect()}
+    assert found == {("loadall", "b", 0.5, 5), ("Job::run", "c", 0.95, 2), ("hook", "e", 0.95, 1), ("goonly", "g", 0.3, 5)}
+    edges = {(r["target"], r["kind"]) for r in resolve.ladder_edges(g).collect()}
+    assert edges == {("b", "calls"), ("c", "calls"), ("e", "references")}
+    assert {tuple(r) for r in resolve.ladder_admission(g).collect()} == {("resolved", 3), ("failed", 2)}
