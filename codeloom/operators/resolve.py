@@ -191,12 +191,20 @@ def retry_failed(g):
 
 @query("r18_rebind", "SELECT source, target, kind, line, col FROM x WHERE kind <> 'contains' AND coalesce(provenance, '') <> 'heuristic' AND t_name IN (SELECT DISTINCT name FROM n GROUP BY name HAVING count(*) BETWEEN 2 AND 20)")
 def rebind(g):
-    """Edges whose target's name has other definitions, to be resolved anew."""
+    """Edges whose target's name has 2 to 20 definitions, as the SQL has it; ``r18_rebind_edges`` has no such cut."""
     names = g.nodes.groupBy(F.col("name").alias("t_name")).agg(count_rows().alias("c")).where("c between 2 and 20").select("t_name")
     rows = g.located("name").where("kind <> 'contains' and coalesce(provenance, '') <> 'heuristic'")
     return rows.join(names, "t_name", "left_semi").select("source", "target", "kind", "line", "col")
 
 
+@query("r18_rebind_edges")
+def rebind_edges(g):
+    """All edges but heuristic ones by target name, of names with at most ``CEILING`` such edges."""
+    rows = g.located("name").where("coalesce(provenance, '') <> 'heuristic'")
+    names = rows.groupBy("t_name").agg(count_rows().alias("c")).where(F.col("c") <= CEILING).select("t_name")
+    return rows.join(names, "t_name", "left_semi").select("source", "target", "kind", "line", "col")
+
+
 @query("y01_override_edges", "SELECT DISTINCT b.t AS source, c.t AS target FROM e JOIN m b ON b.owner = e.target JOIN m c ON c.owner = e.source AND c.name = b.name WHERE e.kind IN ('extends', 'implements') AND e.source <> e.target", "m AS (SELECT e.source AS owner, e.target AS t, n.name FROM e JOIN n ON n.id = e.target WHERE e.kind = 'contains' AND n.kind = 'method')")
 def override_edges(g):
     """Calls of a base method reach the methods of that name in its subtypes."""

@@ -165,3 +165,12 @@ def test_ladder_resolves_more_than_exact_names(spark, tmp_path):
     edges = {(r["target"], r["kind"]) for r in resolve.ladder_edges(g).collect()}
     assert edges == {("b", "calls"), ("c", "calls"), ("e", "references")}
     assert {tuple(r) for r in resolve.ladder_admission(g).collect()} == {("resolved", 3), ("failed", 2)}
+
+
+def test_rebind_counts_edges_of_a_name(spark, tmp_path):
+    nodes = [(f"n{i}", "function", "many", "many", "x.py", "python") for i in range(25)] + [(f"h{i}", "function", "hub", "hub", "x.py", "python") for i in range(2)]
+    nodes += [(f"s{i}", "function", f"s{i}", f"s{i}", "x.py", "python") for i in range(resolve.CEILING + 1)]
+    edges = [("s0", f"n{i}", "contains" if i else "calls", "heuristic" if i == 1 else None) for i in range(25)]
+    edges += [(f"s{i}", "h0", "calls", None) for i in range(resolve.CEILING + 1)] + [("s0", "h1", "calls", "heuristic")]
+    found = {(r["source"], r["target"], r["kind"]) for r in resolve.rebind_edges(write_graph(spark, tmp_path, nodes, edges)).collect()}
+    assert found == {e[:3] for e in edges[:25] if e[3] is None}
