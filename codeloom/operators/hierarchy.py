@@ -1,15 +1,17 @@
 """Parent-child links to full hierarchies.
 
 Method: connected components of the links, each component in one place, an iterative
-depth-first traversal with node colouring there; back edges are the cycles.
+depth-first traversal with node colouring there; back edges tell what hangs below a cycle.
 
 A component of more than ``max_links`` links never goes to one task. Its nodes are handled
 by joins instead: chains of single-parent nodes shrink to their nearest root or junction
 (a node with several parents) by pointer doubling, which takes logarithmically many rounds;
-junctions are then settled in topological rounds. Both ways give the same rows.
+junctions are then settled in topological rounds, and strongly connected parts by colouring.
+Both ways give the same rows.
 
 Defined results: links with a null end are ignored, repeated links count once, a self link
-is a cycle, an empty input gives empty results. A node on a cycle or reachable from one has
+is a cycle, the links that close cycles are those inside a strongly connected part with
+source >= target (every cycle has one), an empty input gives empty results. A node on a cycle or reachable from one has
 the single row (node_id, '', -1) and no paths or descendants. Ties between shortest paths go
 to the path that is least as an array of ids.
 """
@@ -69,6 +71,19 @@ def colour(children: dict[str, list[str]], nodes: list[str], roots: list[str]) -
     return post, back
 
 
+def strong_parts(post: list[str], parents: dict[str, list[str]]) -> dict[str, str]:
+    """A node of its strongly connected part for every node, by walks against the links in falling post-order."""
+    part: dict[str, str] = {}
+    for start in reversed(post):
+        todo = [start]
+        while todo:
+            x = todo.pop()
+            if x not in part:
+                part[x] = start
+                todo += (p for p in parents.get(x, ()) if p not in part)
+    return part
+
+
 def traverse(links: list[tuple[str, str]], what: str) -> Iterator[tuple]:
     """The rows of one or several whole components."""
     links = sorted(set(links))
@@ -81,7 +96,8 @@ def traverse(links: list[tuple[str, str]], what: str) -> Iterator[tuple]:
     roots = [x for x in nodes if x not in parents]
     post, back = colour(children, nodes, roots)
     if what == "cycles":
-        yield from back
+        part = strong_parts(post, parents)
+        yield from ((s, t) for s, t in links if s >= t and part[s] == part[t])
         return
     tainted, todo = set(), [t for _, t in back]
     while todo:
@@ -228,28 +244,45 @@ def _by_joins(links: DataFrame, scratch: Scratch, what: str) -> DataFrame:
             known = known.unionByName(level)
             known = scratch.spool(known) if distance % PLAN_LEVELS == 0 else known
         return known
-    # A back edge of some traversal order: one link of each cycle at least lies among tainted nodes
-    # of the same strongly connected part; forward-backward reachability of the hashes finds them.
     tainted = nodes.join(good.select("v"), "v", "left_anti").select("v")
     return _cycle_links(links, tainted, scratch)
 
 
 def _cycle_links(links: DataFrame, tainted: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links of huge components whose ends lie on one cycle, with source >= target (every cycle has such a link)."""
+    """Links inside a strongly connected part with source >= target.
+
+    What has no way in or out is peeled; the rest is coloured forwards by the least node that reaches
+    it and backwards within a colour, until every node is settled. No pairs beyond links are made.
+    """
     inside = links.join(tainted.select(F.col("v").alias("source")), "source", "left_semi").join(tainted.select(F.col("v").alias("target")), "target", "left_semi")
-    live = scratch.spool(inside)
-    size = None
-    # Peel what has no way out inside: it hangs below a cycle.
-    while (now := live.count()) != size:
-        size = now
-        live, old = scratch.spool(live.join(live.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")), live
-        scratch.drop(old)
-    known = level = live.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
-    step = 0
-    while not level.isEmpty():
-        step += 1
-        wider = level.join(live.select(F.col("source").alias("b"), F.col("target").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
-        level = scratch.spool(wider.join(known, ["a", "b"], "left_anti"))
-        known = known.unionByName(level)
-        known = scratch.spool(known) if step % PLAN_LEVELS == 0 else known
-    return live.where("source >= target").join(known.select(F.col("a").alias("target"), F.col("b").alias("source")), ["source", "target"], "left_semi")
+    live, found = scratch.spool(inside), links.where("false")
+    while True:
+        size = None
+        while (now := live.count()) != size:
+            size, old = now, live
+            kept = live.join(live.select(F.col("source").alias("target")).distinct(), "target", "left_semi").join(live.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+            live = scratch.spool(kept.select("source", "target"))
+            scratch.drop(old)
+        if not size:
+            return found
+        nodes = live.select(F.col("source").alias("v")).union(live.select("target")).distinct()
+        colours = fresh = scratch.spool(nodes.select("v", F.col("v").alias("colour")))
+        while not fresh.isEmpty():
+            offers = live.join(fresh.withColumnRenamed("v", "source"), "source").groupBy(F.col("target").alias("v")).agg(F.min("colour").alias("offer"))
+            both = scratch.spool(colours.join(offers, "v", "left").select("v", F.least("colour", "offer").alias("colour"), F.coalesce(F.col("offer") < F.col("colour"), F.lit(False)).alias("new")))
+            scratch.drop(colours)
+            colours, fresh = both.select("v", "colour"), both.where("new").select("v", "colour")
+        s, t = colours.select(F.col("v").alias("source"), F.col("colour").alias("cs")), colours.select(F.col("v").alias("target"), F.col("colour").alias("ct"))
+        same = scratch.spool(live.join(s, "source").join(t, "target").where("cs = ct").select("source", "target", F.col("cs").alias("colour")))
+        done = level = scratch.spool(colours.where("v = colour"))
+        step = 0
+        while not level.isEmpty():
+            step += 1
+            wider = same.join(level.select(F.col("v").alias("target")), "target").select(F.col("source").alias("v"), "colour").distinct()
+            level = scratch.spool(wider.join(done, ["v", "colour"], "left_anti"))
+            done = done.unionByName(level)
+            done = scratch.spool(done) if step % PLAN_LEVELS == 0 else done
+        ids = scratch.spool(done.select("v"))
+        ends = [ids.withColumnRenamed("v", c) for c in ("source", "target")]
+        found = found.unionByName(scratch.spool(same.where("source >= target").join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi").select("source", "target")))
+        live = scratch.spool(live.join(ends[0], "source", "left_anti").join(ends[1], "target", "left_anti"))

@@ -34,7 +34,7 @@ def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Back edges; which link of a cycle is one depends on the traversal, that every cycle has one doesn't."""
+    """Links inside a strongly connected part with source >= target: every cycle has one, whatever the size."""
     return _p1("cycles")(spark, sf_dir)
 
 

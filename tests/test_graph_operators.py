@@ -174,3 +174,19 @@ def test_rebind_counts_edges_of_a_name(spark, tmp_path):
     edges += [(f"s{i}", "h0", "calls", None) for i in range(resolve.CEILING + 1)] + [("s0", "h1", "calls", "heuristic")]
     found = {(r["source"], r["target"], r["kind"]) for r in resolve.rebind_edges(write_graph(spark, tmp_path, nodes, edges)).collect()}
     assert found == {e[:3] for e in edges[:25] if e[3] is None}
+
+
+def test_cycles_do_not_depend_on_size(spark):
+    rng = random.Random(11)
+    links = random_links(rng, 14, 20) + [("c", "b"), ("b", "a"), ("a", "c"), ("c", "d"), ("d", "n1"), ("y", "y"), ("y", "c")]
+    below = defaultdict(set)
+    for s, t in links:
+        below[s].add(t)
+    for _ in links:
+        for s in list(below):
+            below[s] |= {y for x in list(below[s]) for y in below[x]}
+    want = {(s, t) for s, t in links if s >= t and s in below[t]}
+    assert {("c", "b"), ("b", "a"), ("y", "y")} <= want
+    df = spark.createDataFrame(links, "source string, target string")
+    for m in (1000, 0):
+        assert sorted(tuple(r) for r in hierarchy(df, Scratch(spark, "t"), "cycles", m).collect()) == sorted(want)
