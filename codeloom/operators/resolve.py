@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import scalars as X
 from codeloom.operators.readers import count_rows
 from codeloom.operators.store import GraphStore, with_sql
+from codeloom.plans.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -200,7 +201,9 @@ def rebind(g):
 @query("r18_rebind_edges")
 def rebind_edges(g):
     """All edges but heuristic ones by target name, of names with at most ``CEILING`` such edges."""
-    rows = g.located("name").where("coalesce(provenance, '') <> 'heuristic'")
+    target = g.nodes.select(F.col("id").alias("target"), F.col("name").alias("t_name"))
+    rows = g.edges.where("coalesce(provenance, '') <> 'heuristic'").select("source", "target", "kind", "line", "col").join(target, "target")
+    rows = Scratch(g.spark, "r18_rebind_edges").spool(rows)
     names = rows.groupBy("t_name").agg(count_rows().alias("c")).where(F.col("c") <= CEILING).select("t_name")
     return rows.join(names, "t_name", "left_semi").select("source", "target", "kind", "line", "col")
 
