@@ -19,8 +19,11 @@ phone, address, name in this order; placeholders are [EMAIL], [PHONE], [ID_NUMBE
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,21 +48,22 @@ PHONE = re.compile(
 )
 _TYPE_EN = r"(?:Street|St|Road|Rd|Lane|Ln|Close|Court|Ct|Way|Terrace|Crescent|Boulevard|Blvd|Avenue|Ave|Drive|Dr|Place|Pl|Square|Sq|Row|Hill|Parkway|Pkwy|Highway|Hwy|Circle|Cir|Trail|Grove|Gardens|Mews|Walk|Alley|Quay)"
 _W = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
-#: Formats of addresses, each behind a cheaper test.
+_TYPE_FR = r"(?:rue|r\.|avenue|av\.|ave\.|boulevard|bd\.?|boul\.|chemin|ch\.|place|pl\.|quai|impasse|imp\.|allée|all\.|route|rte|cours|square|sentier|passage|faubourg|fg|voie|villa|cité|ruelle|montée|promenade|esplanade)"
+#: Formats of addresses: words of which one must stand in the line, and the pattern.
 ADDRESSES = [
-    (re.compile(rf"\d [\w.'’ ]*?\b{_TYPE_EN}\b|\d[a-z]? .*?\b{_TYPE_EN}\b"), re.compile(
+    ([f" {w}" for w in _TYPE_EN[3:-1].split("|")], re.compile(
         rf"(?<![\w.])\d{{1,5}}(?:[a-z]|[ ]?[A-Z]|[ -](?:bis|ter|quater))?(?: (?:[NSEW]\.|[NS][EW]|North|South|East|West|Upper|Lower|Old|New))?(?: {_W}){{1,4}}? {_TYPE_EN}\b\.?"
     )),
-    (re.compile(r"\d.{0,8}\b(?:rue|r\.|av|ave|boulevard|bd|boul|chemin|ch\.|place|pl\.|quai|impasse|imp|allée|all\.|route|rte|cours|square|sentier|passage|faubourg|fg|voie|villa|cité|ruelle|montée|promenade|esplanade)", re.I), re.compile(
-        rf"(?<![\w.])\d{{1,5}}(?: ?(?:bis|ter|quater|[a-d](?![\w])))?,? (?:rue|r\.|avenue|av\.|ave\.|boulevard|bd\.?|boul\.|chemin|ch\.|place|pl\.|quai|impasse|imp\.|allée|all\.|route|rte|cours|square|sentier|passage|faubourg|fg|voie|villa|cité|ruelle|montée|promenade|esplanade)(?: (?:de la|de l['’]|des|du|de|d['’]|la|le|les|l['’]|sous|sur|aux?|à|en))*[ ]?{_W}(?:[ -](?:(?:de|des|du|la|le|les|et|sur|sous|aux?|d['’]|l['’])[ -]?)*{_W})*"
+    ([f" {w}" for w in _TYPE_FR[3:-1].replace(r"\.?", "").replace("\\", "").split("|")], re.compile(
+        rf"(?<![\w.])\d{{1,5}}(?: ?(?:bis|ter|quater|[a-d](?![\w])))?,? {_TYPE_FR}(?: (?:de la|de l['’]|des|du|de|d['’]|la|le|les|l['’]|sous|sur|aux?|à|en))*[ ]?{_W}(?:[ -](?:(?:de|des|du|la|le|les|et|sur|sous|aux?|d['’]|l['’])[ -]?)*{_W})*"
     )),
-    (re.compile(r"(?:[Ss]tr\.|[Ss]traße|[Ss]trasse|[Gg]asse|[Ww]eg|[Aa]llee|[Pp]latz|[Uu]fer|[Dd]amm|[Rr]ing|[Ss]teig|chaussee|pfad|graben|[Mm]arkt|[Hh]of|berg|tor|turm|brücke|zeile|stieg|wall|\b(?:Am|An|Auf|Im|In|Zum|Zur|Unter|Hinter|Beim|Vor|Alte|Neue|Große|Kleine)[rsn]?\b.{1,40}?) \d"), re.compile(
+    ([*(f"{w} " for w in "straße strasse str. gasse weg allee platz ufer damm ring steig chaussee pfad graben markt hof berg tor turm brücke zeile stieg wall Straße Strasse Str. Gasse Weg Allee Platz Ufer Damm Ring Steig Markt Hof Am Im Zum Zur Beim".split()), "An de", "Auf de", "In de", "Unter den ", "Hinter de", "Vor dem ", "Alte", "Neue", "Große", "Kleine"], re.compile(
         rf"(?<![\w.])(?:(?:{_W} ){{0,2}}{_W}(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm|ring|steig|chaussee|pfad|graben|markt|hof|berg|tor|turm|brücke|zeile|stieg|wall)|(?:Am|An der|An den|Auf dem|Auf der|Im|In der|In den|Zum|Zur|Unter den|Hinter der|Hinter dem|Beim|Vor dem|Alte[rsn]?|Neue[rsn]?|Große[rsn]?|Kleine[rsn]?) (?:{_W} )?{_W}|{_W}(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm|ring)|(?:{_W} )?{_W}[- ](?:Straße|Strasse|Str\.|Gasse|Weg|Allee|Platz|Ufer|Damm|Ring|Steig|Markt|Hof)) \d{{1,5}}(?: ?[a-z](?![\w]))?"
     )),
-    (re.compile(r"\b(?:Calle|C/|C\.|Cl\.|Av|Paseo|P\.º|Pº|Pl|Pza|Camino|Cno|Cam\.|Carretera|Ctra|Ronda|Rda|Trav|Callejón|Glorieta|Gta|Vía|Cuesta|Rambla).{1,60}?\d"), re.compile(
+    ("Calle C/ C. Cl. Avenida Avda Av. Paseo P.º Pº Plaza Pl. Pza. Camino Cno. Cam. Carretera Ctra. Ronda Rda. Travesía Trav. Callejón Glorieta Gta. Vía Cuesta Rambla".split(), re.compile(
         rf"(?<![\w.])(?:Calle|C/|C\.|Cl\.|Avenida|Avda\.?|Av\.|Paseo|P\.º|Pº|Plaza|Pl\.|Pza\.|Camino|Cno\.|Cam\.|Carretera|Ctra\.|Ronda|Rda\.|Travesía|Trav\.|Callejón|Glorieta|Gta\.|Vía|Cuesta|Rambla) ?(?:(?:de la|de los|de las|del|de|la|el|los|las) )*{_W}(?: (?:(?:de la|de los|de las|del|de|la|el|y) )*{_W})*,? (?:n\.?º ?|núm\. )?\d{{1,5}}(?: ?(?:bis|ter|[A-Za-z](?![\w])))?"
     )),
-    (re.compile(r"\d号"), re.compile(r"(?<=[到：:，,在于住址\s])[一-鿿]{2,6}?(?:路|街|巷|里|道|弄|胡同|大街)\d{1,5}号")),
+    (["号"], re.compile(r"(?<=[到：:，,在于住址\s])[一-鿿]{2,6}?(?:路|街|巷|里|道|弄|胡同|大街)\d{1,5}号")),
 ]
 _LETTERS = r"[^\W\d_]"
 _GIVEN = rf"(?:{_LETTERS}\.(?:[ -]?{_LETTERS}\.)*|{_LETTERS}[\w'’]*(?:-{_LETTERS}[\w'’]*)?)"
@@ -67,48 +71,56 @@ _FAMILY = rf"{_LETTERS}[\w'’]+(?:-{_LETTERS}[\w'’]+)*"
 _PARTICLE = r"(?:(?:van der|van den|van de|van|von der|von und zu|von|zu|de la|de los|del|de|da|dos|das|di|du|le|la|el|bin|ibn|ter|ten|af|Van Der|Van|Von|De|VAN DER|VAN|VON|DE) )"
 _PERSON = rf"(?:{_PARTICLE}?{_FAMILY}, {_GIVEN}(?: {_LETTERS}\.)?|{_GIVEN}(?: {_LETTERS}\.| {_GIVEN})?? {_PARTICLE}?{_FAMILY}|{_GIVEN} {_LETTERS}\. {_PARTICLE}?{_FAMILY})"
 _CJK = r"[一-鿿]{2,4}"
-# Contexts in which people stand: what comes before, what must follow. Fixed values.
-_PAIR = r"(?=(?:[.,;:!?)\]}\"'<>|（(]|\s|$))"
+# Contexts in which people stand: words of which one must stand in the line, what comes before, what must follow. Fixed values.
+_END = r"(?=[.,;](?:\s|$)|$|\n)"
+_ROLES = "Author Authors Committer Assignee Owner Maintainer Reporter Autor Auteur Verfasser".split()
+_FIELDS = "user name author fullname full_name owner contact customer employee".split()
+_RECORD = "user customer contact patient employee account member client User Customer Contact Patient Employee Account Member Client".split()
+#: Documents and numbers that belong to a person, by language: (words, words between them and the person).
+_DOCUMENTS = [
+    ("passport Passport licence license Licence License SSN ssn number Number No. no. ID id", "for|of|belonging to|issued to|held by"),
+    ("DNI NIE NIF pasaporte Pasaporte", "de|a nombre de"),
+    ("nummer ausweis Ausweis Reisepass", "von|für"),
+    ("identité passeport Passeport", "de|pour"),
+]
+_COMPOUND = r"\w*"
+_BY = [
+    ("by ", r"[Rr]eviewed|[Rr]eported|[Ww]ritten|[Aa]pproved|[Ff]iled|[Mm]erged|[Ss]igned|[Ff]ixed|[Oo]pened|[Cc]losed|[Tt]ested|[Aa]uthored", "by", "and|&"),
+    ("von ", r"[Gg]emeldet|[Gg]eprüft|[Gg]eschrieben|[Ee]rstellt|[Gg]enehmigt", "von", "und"),
+    ("por ", r"[Ii]nformado|[Rr]evisado|[Rr]eportado|[Ee]scrito|[Aa]probado", "por", "y"),
+    ("par ", r"[Ss]ignalé|[Rr]elu|[Éé]crit|[Rr]apporté|[Aa]pprouvé", "par", "et"),
+]
 CONTEXTS = [
-    (rf"(?:Signed-off-by|Co-authored-by|Co-developed-by|Acked-by|Reviewed-by|Tested-by|Reported-by|Suggested-by|Author|Authors|Committer|Assignee|Assigned to|Owner|Maintainer|Reporter|Autor|Auteur|Verfasser)\s*:\s*(?P<n>{_PERSON})\s*(?=<|$|\n|[,;(]|\.(?:\s|$))"),
-    (rf"(?<![\w-])(?:[Rr]eviewed|[Rr]eported|[Ww]ritten|[Aa]pproved|[Ff]iled|[Mm]erged|[Ss]igned|[Ff]ixed|[Oo]pened|[Cc]losed|[Tt]ested|[Aa]uthored) by (?P<n>{_PERSON})(?= and | & |[ ]?\(|[.,;](?:\s|$)|$|\n| on | in )"),
-    (rf"(?<![\w-])(?:[Rr]eviewed|[Aa]pproved|[Tt]ested|[Ww]ritten|[Rr]eported) by {_PERSON} (?:and|&) (?P<n>{_PERSON})(?=[.,;](?:\s|$)|$|\n)"),
-    (rf"(?<![\w-])[Cc][Cc]:? (?P<n>{_PERSON})(?=$|\n|[.,;](?:\s|$))"),
-    (rf"(?<!\w)[Tt]hanks to (?P<n>{_PERSON}) for "),
-    (rf"(?<!\w)[Pp]aired with (?P<n>{_PERSON}) on "),
-    (rf"(?<!\w)(?:TODO|FIXME|XXX|NOTE)\((?P<n>{_PERSON})\)"),
-    (rf"(?<!\w)[Yy]ou can reach (?P<n>{_PERSON}) (?:at|on|under) "),
-    (rf"(?<!\w)user record: (?P<n>{_PERSON}) \|"),
-    (rf"\"(?:user|name|author|full_?name|owner|contact|customer|employee)\"\s*:\s*\"(?P<n>{_PERSON}|{_CJK})\""),
-    (rf"(?<!\w)printed in the (?:debug )?log for (?P<n>{_PERSON})(?=[.,;](?:\s|$)|$|\n)"),
-    (rf"(?<!\w)lists (?:the )?(?:tax |national |social )?(?:id|number|ID)\b[^\n]{{4,30}}? for (?P<n>{_PERSON})(?=[.,;](?:\s|$)|$|\n)"),
-    (rf"(?<!\w)(?:[Ss]hip|[Ss]end|[Dd]eliver|[Pp]ost) (?:the |a |it )?[\w ]{{0,24}}?\bto (?P<n>{_PERSON}), (?=\d|\w)"),
-    (rf"(?<!\w)an (?P<n>{_PERSON}), (?=[^\n]{{4,60}}schicken)"),
-    (rf"(?<!\w)(?:muestra el DNI|muestra el NIE|DNI|NIE) [\w -]{{6,16}}? de (?P<n>{_PERSON})(?=[.,;](?:\s|$)|$|\n)"),
-    (rf"(?<!\w)(?:Ausweisnummer|Personalausweis|Passnummer|Steuernummer) [\w -]{{6,16}}? von (?P<n>{_PERSON})(?=[.,;](?:\s|$)|$|\n)"),
-    (rf"(?<!\w)(?:numéro d['’]identité|passeport|pièce d['’]identité) [\w -]{{6,16}}? de (?P<n>{_PERSON})(?=[.,;](?:\s|$)|$|\n)"),
-    (rf"(?<!\w)(?:Rückfragen|Fragen|Wenden Sie sich) an (?P<n>{_PERSON})(?=, Tel|[.,;](?:\s|$)|$|\n)"),
-    (rf"(?<!\w)(?:Enviar|Envíe|Mandar) [\w ]{{0,24}}?\ba (?P<n>{_PERSON}), "),
-    (rf"(?<!\w)(?:Envoyer|Envoyez|Expédier) [\w ]{{0,24}}?\bà (?P<n>{_PERSON}), "),
-    (rf"(?<!\w)(?:Llamar|Llame|Llamad) a (?P<n>{_PERSON}) al "),
-    (rf"(?<!\w)(?:Joindre|Appeler|Contacter|Joignez) (?P<n>{_PERSON}) au "),
-    (rf"(?<!\w)(?:[Gg]emeldet|[Gg]eprüft|[Gg]eschrieben|[Ee]rstellt) von (?P<n>{_PERSON})(?= ?\(| und |[.,;](?:\s|$)|$|\n)"),
-    (rf"(?<!\w)(?:[Ii]nformado|[Rr]evisado|[Rr]eportado|[Ee]scrito) por (?P<n>{_PERSON})(?= ?\(| y |[.,;](?:\s|$)|$|\n)"),
-    (rf"(?<!\w)(?:[Ss]ignalé|[Rr]elu|[Éé]crit|[Rr]apporté) par (?P<n>{_PERSON})(?= ?\(| et |[.,;](?:\s|$)|$|\n)"),
-    (rf"(?<!\w)(?:Regards|Best|Cheers|Thanks|Sincerely|Best regards|Kind regards|Viele Grüße|Mit freundlichen Grüßen|Grüße|Gruß|Cordialement|Bien à vous|Saludos|Un saludo|Atentamente|此致|谢谢)[,，!.]?[ \t]*\r?\n[ \t]*(?P<n>{_PERSON})[ \t]*(?=\r?\n|$)"),
-    (rf"联系(?P<n>{_CJK}?)(?=[。，；！？\s]|$)"),
-    (rf"由(?P<n>{_CJK}?)(?=报告|提交|审核|编写|修复|负责)"),
-    (rf"(?:感谢|作者[：:]\s*|收件人[：:]\s*|联系人[：:]\s*|审核人[：:]\s*|负责人[：:]\s*|姓名[：:]\s*)(?P<n>{_CJK}?)(?=[的。，；！？\s]|$)"),
+    (["-by:", "-by :", *(f"{r}:" for r in _ROLES), *(f"{r} :" for r in _ROLES), "Assigned to"], rf"(?:\w+-by|{'|'.join(_ROLES)}|Assigned to)\s*:\s*(?P<n>{_PERSON})\s*(?=<|$|\n|[,;(]|\.(?:\s|$))"),
+    *(([k], rf"(?<![\w-])(?:{verbs}) {by} (?P<n>{_PERSON})(?= (?:{also}) |[ ]?\(|[.,;](?:\s|$)|$|\n| on | in )") for k, verbs, by, also in _BY),
+    *(([k], rf"(?<![\w-])(?:{verbs}) {by} {_PERSON} (?:{also}) (?P<n>{_PERSON}){_END}") for k, verbs, by, also in _BY),
+    (["cc", "CC", "Cc", "cC"], rf"(?<![\w-])[Cc][Cc]:? (?P<n>{_PERSON}){_END}"),
+    (["hanks to "], rf"(?<!\w)[Tt]hanks to (?P<n>{_PERSON})(?= for |[.,;!](?:\s|$)|$|\n)"),
+    (["aired with "], rf"(?<!\w)[Pp]aired with (?P<n>{_PERSON})(?= on |[.,;](?:\s|$)|$|\n)"),
+    (["TODO(", "FIXME(", "XXX(", "NOTE("], rf"(?<!\w)(?:TODO|FIXME|XXX|NOTE)\((?P<n>{_PERSON})\)"),
+    (["reach ", "contact ", "call ", "Call ", "Contact ", "Reach "], rf"(?<!\w)(?:reach|contact|call|Reach|Contact|Call) (?P<n>{_PERSON}) (?:at|on|under|via) "),
+    ([f"{r} {x}" for r in _RECORD for x in ("record", "profile", "entry")], rf"(?<!\w)(?:{'|'.join(_RECORD)}) (?:record|profile|entry)\s*[:=]\s*(?P<n>{_PERSON})(?=\s*[|,;/]|$|\n)"),
+    ([f'{f}"' for f in _FIELDS], rf"\"(?:{'|'.join(_FIELDS)})\"\s*:\s*\"(?P<n>{_PERSON}|{_CJK})\""),
+    *((words.split(), rf"(?<!\w){_COMPOUND if 'nummer' in words else ''}(?:{'|'.join(w.replace('.', '[.]') for w in words.split())})(?!\w)[^\n\d]{{0,16}}\d[\w -]{{3,20}}[^\n]{{0,50}}? (?:{of}) (?P<n>{_PERSON}){_END}") for words, of in _DOCUMENTS),
+    (["hip ", "end ", "eliver ", "ost ", "orward "], rf"(?<!\w)(?:[Ss]hip|[Ss]end|[Dd]eliver|[Pp]ost|[Ff]orward) (?:the |a |it )?[\w ]{{0,24}}?\bto (?P<n>{_PERSON}), (?=\d|\w)"),
+    (["an "], rf"(?<!\w)an (?P<n>{_PERSON}), (?=[^\n]{{0,60}}\d[^\n]{{0,60}}(?:schick|send|liefer))|(?<!\w)(?:[Ss]chick|[Ss]end|[Ll]iefer)\w*\b[\w ]{{0,24}}? an (?P<m>{_PERSON}), (?=[^\n]{{0,60}}\d)"),
+    (["ragen an ", "Sie sich an "], rf"(?<!\w)(?:Rückfragen|Fragen|Wenden Sie sich) an (?P<n>{_PERSON})(?=, Tel|[.,;](?:\s|$)|$|\n)"),
+    (["nviar", "nvíe", "andar"], rf"(?<!\w)(?:[Ee]nviar|[Ee]nvíe|[Mm]andar) [\w ]{{0,24}}?\ba (?P<n>{_PERSON}), "),
+    (["nvoye", "xpédi"], rf"(?<!\w)(?:[Ee]nvoyer|[Ee]nvoyez|[Ee]xpédiez|[Ee]xpédier) [\w ]{{0,24}}?\bà (?P<n>{_PERSON}), "),
+    (["lamar a", "lame a", "lamad a"], rf"(?<!\w)(?:[Ll]lamar|[Ll]lame|[Ll]lamad) a (?P<n>{_PERSON}) al "),
+    (["oindre", "ppele", "ontacte", "oignez"], rf"(?<!\w)(?:[Jj]oindre|[Aa]ppelez|[Aa]ppeler|[Cc]ontacter|[Cc]ontactez|[Jj]oignez) (?P<n>{_PERSON}) au "),
+    (["联系"], rf"联系(?P<n>{_CJK}?)(?=[。，；！？\s]|$)"),
+    (["由"], rf"由(?P<n>{_CJK}?)(?=报告|提交|审核|编写|修复|负责)"),
+    ("感谢 作者 收件人 联系人 审核人 负责人 姓名".split(), rf"(?:感谢|作者[：:]\s*|收件人[：:]\s*|联系人[：:]\s*|审核人[：:]\s*|负责人[：:]\s*|姓名[：:]\s*)(?P<n>{_CJK}?)(?=[的。，；！？\s]|$)"),
 ]
-SIGNATURE = next(re.compile(c) for c in CONTEXTS if "Regards" in c)
-_NAMES = [re.compile(c) for c in CONTEXTS if "Regards" not in c]
-# Cheap tests before the patterns.
-_SIGNED = re.compile(r"Regards|Best|Cheers|Thanks|Sincerely|Grüße|Grüßen|Gruß|Cordialement|Bien à vous|Saludos|saludo|Atentamente|此致|谢谢")
+_GREETINGS = "Regards|Best|Cheers|Thanks|Sincerely|Best regards|Kind regards|Viele Grüße|Mit freundlichen Grüßen|Grüße|Gruß|Cordialement|Bien à vous|Saludos|Un saludo|Atentamente|此致|谢谢"
+SIGNATURE = re.compile(rf"(?<!\w)(?:{_GREETINGS})[,，!.]?[ \t]*\r?\n[ \t]*(?P<n>{_PERSON})[ \t]*(?=\r?\n|$)")
+_NAMES = [re.compile(pattern) for _, pattern in CONTEXTS]
+_SIGNED = re.compile(rf"(?:{_GREETINGS})[,，!.]?[ \t]*\r?\n")
+_AT_WORDS = ["at]", "at)", "at}", "at>", "AT]", "AT)", "AT}", "AT>", "ät]", "ät)", "ät}", "ät>", "at ]", "at )", "at }", "at >", "AT ]", "AT )", "AT }", "AT >", "ät ]", "ät )", "ät }", "ät >", " AT ", " at ", "\tat ", "@"]
 _DISGUISE = re.compile(r"[\[({<]\s?(?:at|AT|ät)\s?[\])}>]| AT |\sat\s[\w-]+(?:\s(?:dot|DOT)\s|\.\w)")
 _STAMP = re.compile(r"\d{4}-\d\d-\d\dT")
-_NUMBERS = re.compile(r"\d[\d .()/-]{5,}\d|[A-Z]-?\d{7}|[A-Z]\d{6}|\d{8}|\d\d \d\d \d\d")
-_HOUSE = re.compile(r"\d{1,5}[a-z]?(?:[ ,]| ?号)|\d{1,5}$|[.a-z] ?\d{1,5}\b")
-_TRIGGER = re.compile(r"-by|[Bb]y |[Cc][Cc]:? |hanks to|aired with|(?:TODO|FIXME|XXX|NOTE)\(|can reach|record:|\"(?:user|name|author|full_?name|owner|contact|customer|employee)\"|printed in|lists |[Ss]hip|[Ss]end|[Dd]eliver|[Pp]ost |schicken|DNI|NIE|nummer |ausweis|identité|passeport|ragen an|Sie sich|[Ee]nv|Mandar|Exp|Llam|Join|Appeler|Contacter|von |por |par |[联由谢者人名]|(?:Author|Authors|Committer|Assignee|Assigned to|Owner|Maintainer|Reporter|Autor|Auteur|Verfasser)\s*:")
+_NUMBERS = re.compile(r"\d[\d .()/-]{4,}\d")
 _CAPITAL = r"[A-ZÀ-ÖØ-Þ]"
 WEAK_NAME = re.compile(rf"(?<![\w./@-]){_CAPITAL}[a-zß-ÿ'’]{{1,20}} (?:{_CAPITAL}\. |van der |van |von |de la |del |de )?{_CAPITAL}[a-zß-ÿ'’]{{2,24}}(?:-{_CAPITAL}[a-zß-ÿ'’]{{2,24}})?(?![\w/@-])")
 # Words before or after a span that speak for or against each type. Fixed values.
@@ -142,52 +154,77 @@ def _ok(kind: str, value: str) -> bool:
     return True
 
 
+@lru_cache(1)
+def _keys() -> ahocorasick.Automaton:
+    """One pass over a text tells which patterns to try: -1 emails, from 0 on addresses, then the contexts of names."""
+    groups: dict[str, set[int]] = {}
+    for group, words in [(-1, _AT_WORDS), *enumerate([w for w, _ in ADDRESSES] + [w for w, _ in CONTEXTS])]:
+        for word in words:
+            groups.setdefault(word, set()).add(group)
+    out = ahocorasick.Automaton()
+    for word, tried in groups.items():
+        out.add_word(word, tuple(tried))
+    out.make_automaton()
+    return out
+
+
 def candidates(text: str, weak: bool) -> list[tuple[int, int, str, int]]:
     """(start, end, type, votes) of all candidate spans. Votes: two bits each (1 for, 2 against) of
     format, context, gazetteer and counter-context; the gazetteer's are set later."""
-    out = []
-    at = 0
-    for line in text.split("\n"):
-        if len(line) > 5:
-            _line_candidates(line.rstrip("\r"), at, text, out)
-        at += len(line) + 1
+    starts, lines = [0], text.split("\n")
+    for line in lines:
+        starts.append(starts[-1] + len(line) + 1)
+    tries: set[tuple[int, int]] = set()
+    at, stop = 0, starts[1]
+    for end, groups in _keys().iter(text):
+        if end >= stop:
+            at = bisect_right(starts, end, at) - 1
+            stop = starts[at + 1]
+        for group in groups:
+            tries.add((at, group))
+    found: list[tuple[str, int, int]] = []
+    out: list[tuple[int, int, str, int]] = []
+    for at, group in sorted(tries):
+        line, offset = lines[at].rstrip("\r"), starts[at]
+        if group >= len(ADDRESSES):
+            _named(_NAMES[group - len(ADDRESSES)], line, offset, out)
+        elif group >= 0:
+            found += [("address", offset + m.start(), offset + m.end()) for m in ADDRESSES[group][1].finditer(line)]
+        elif "@" in line or _DISGUISE.search(line):
+            found += [("email", offset + m.start(), offset + m.end()) for m in EMAIL.finditer(line)]
+    numbered, at = -1, 0
+    for m in _NUMBERS.finditer(text):
+        at = bisect_right(starts, m.start(), at) - 1
+        offset = starts[at]
+        if at == numbered or (m.end() - offset <= 20 and _STAMP.match(text, offset)):
+            continue
+        numbered, line = at, lines[at].rstrip("\r")
+        found += [("id_number", offset + x.start(), offset + x.end()) for x in ID.finditer(line)]
+        found += [("phone", offset + x.start(), offset + x.end()) for x in PHONE.finditer(line) if _ok("phone", x.group())]
+    for kind, start, end in found:
+        before, after = text[max(0, start - 40) : start].rsplit("\n", 1)[-1], text[end : end + 24]
+        votes = 1 | (4 if FOR[kind].search(before[-28:] + "\x01" + after[:12]) else 0) | (128 if AGAINST[kind].search(before) or TRAP_AFTER[kind].match(after) else 0)
+        out.append((start, end, kind, votes))
     if _SIGNED.search(text):
         _named(SIGNATURE, text, 0, out)
     if weak:
-        taken = [(s, e) for s, e, _, _ in out]
+        taken = sorted((s, e) for s, e, _, _ in out)
+        k, reach = 0, 0
         for m in WEAK_NAME.finditer(text):
-            if not any(s <= m.start() < e or s < m.end() <= e for s, e in taken):
+            while k < len(taken) and taken[k][0] < m.end():
+                reach = max(reach, taken[k][1])
+                k += 1
+            if reach <= m.start():
                 out.append((*m.span(), "name", 1))
     return out
 
 
 def _named(pattern: re.Pattern, text: str, at: int, out: list) -> None:
     for m in pattern.finditer(text):
-        start, end = m.span("n")
-        if not _not_person(m.group("n")):
-            out.append((at + start, at + end, "name", 4 | (1 if _shape_of_name(m.group("n")) else 0)))
-
-
-def _line_candidates(line: str, at: int, text: str, out: list) -> None:
-    found = []
-    if "@" in line or _DISGUISE.search(line):
-        found += [("email", m.span()) for m in EMAIL.finditer(line)]
-    if _NUMBERS.search(line, 20 if _STAMP.match(line) else 0):
-        found += [("id_number", m.span()) for m in ID.finditer(line)]
-        found += [("phone", m.span()) for m in PHONE.finditer(line) if _ok("phone", m.group())]
-    if _HOUSE.search(line):
-        for gate, pattern in ADDRESSES:
-            if gate.search(line):
-                found += [("address", m.span()) for m in pattern.finditer(line)]
-    for kind, (a, b) in found:
-        start, end = at + a, at + b
-        before, after = text[max(0, start - 40) : start], text[end : end + 24]
-        before = before.rsplit("\n", 1)[-1]
-        votes = 1 | (4 if FOR[kind].search(before[-28:] + "\x01" + after[:12]) else 0) | (128 if AGAINST[kind].search(before) or TRAP_AFTER[kind].match(after) else 0)
-        out.append((start, end, kind, votes))
-    if _TRIGGER.search(line):
-        for pattern in _NAMES:
-            _named(pattern, line, at, out)
+        group = "n" if m.group("n") else "m"
+        start, end = m.span(group)
+        if not _not_person(m.group(group)):
+            out.append((at + start, at + end, "name", 4 | (1 if _shape_of_name(m.group(group)) else 0)))
 
 
 _STOP = frozenset("the a an this that these those we you they it he she i and or but for with from in on at to of by as is are was were be been if when while because who all each every team bot core platform build release main master branch kernel index graph report summary".split())
