@@ -55,7 +55,7 @@ ADDRESSES = [
         rf"(?<![\w.])\d{{1,5}}(?:[a-z]|[ ]?[A-Z]|[ -](?:bis|ter|quater))?(?: (?:[NSEW]\.|[NS][EW]|North|South|East|West|Upper|Lower|Old|New))?(?: {_W}){{1,4}}? {_TYPE_EN}\b\.?"
     )),
     ([f" {w}" for w in _TYPE_FR[3:-1].replace(r"\.?", "").replace("\\", "").split("|")], re.compile(
-        rf"(?<![\w.])\d{{1,5}}(?: ?(?:bis|ter|quater|[a-d](?![\w])))?,? {_TYPE_FR}(?: (?:de la|de l['’]|des|du|de|d['’]|la|le|les|l['’]|sous|sur|aux?|à|en))*[ ]?{_W}(?:[ -](?:(?:de|des|du|la|le|les|et|sur|sous|aux?|d['’]|l['’])[ -]?)*{_W})*"
+        rf"(?<![\w.])\d{{1,5}}(?: ?(?:bis|ter|quater|[a-d](?![\w])))?,? {_TYPE_FR}(?:(?<=\.)|(?!\w))(?: (?:de la|de l['’]|des|du|de|d['’]|la|le|les|l['’]|sous|sur|aux?|à|en))*[ ]?{_W}(?:[ -](?:(?:de|des|du|la|le|les|et|sur|sous|aux?|d['’]|l['’])[ -]?)*{_W})*"
     )),
     ([*(f"{w} " for w in "straße strasse str. gasse weg allee platz ufer damm ring steig chaussee pfad graben markt hof berg tor turm brücke zeile stieg wall Straße Strasse Str. Gasse Weg Allee Platz Ufer Damm Ring Steig Markt Hof Am Im Zum Zur Beim".split()), "An de", "Auf de", "In de", "Unter den ", "Hinter de", "Vor dem ", "Alte", "Neue", "Große", "Kleine"], re.compile(
         rf"(?<![\w.])(?:(?:{_W} ){{0,2}}{_W}(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm|ring|steig|chaussee|pfad|graben|markt|hof|berg|tor|turm|brücke|zeile|stieg|wall)|(?:Am|An der|An den|Auf dem|Auf der|Im|In der|In den|Zum|Zur|Unter den|Hinter der|Hinter dem|Beim|Vor dem|Alte[rsn]?|Neue[rsn]?|Große[rsn]?|Kleine[rsn]?) (?:{_W} )?{_W}|{_W}(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm|ring)|(?:{_W} )?{_W}[- ](?:Straße|Strasse|Str\.|Gasse|Weg|Allee|Platz|Ufer|Damm|Ring|Steig|Markt|Hof)) \d{{1,5}}(?: ?[a-z](?![\w]))?"
@@ -267,19 +267,25 @@ def _spans(doc_id: int, text: str | None) -> Iterator[tuple]:
 
 
 def with_gazetteer(spans: DataFrame) -> DataFrame:
-    """Sets the gazetteer's vote of name spans: do the given and the family name stand in people's contexts elsewhere?"""
-    parts = F.filter(F.split(F.lower(F.regexp_replace("pii_value", r"[,.]", " ")), r"\s+"), lambda w: F.length(w) > 2)
-    named = spans.where("pii_type = 'name'").withColumn("word", F.explode(F.array_distinct(parts)))
-    known = named.where("(votes & 4) = 4").groupBy("word").agg(F.countDistinct("doc_id").alias("n")).where("n >= 3").select("word")
-    hits = named.join(known, "word", "left_semi").groupBy("doc_id", "start", "stop").agg(F.countDistinct("word").alias("hits"))
-    joined = spans.join(hits, ["doc_id", "start", "stop"], "left")
-    return joined.withColumn("votes", F.when((F.col("pii_type") == "name") & (F.col("hits") >= 2), F.col("votes").bitwiseOR(16)).when((F.col("pii_type") == "name") & F.col("hits").isNull() & F.col("pii_value").rlike("[A-Za-z]{3}"), F.col("votes").bitwiseOR(32)).otherwise(F.col("votes"))).drop("hits")
+    """Sets the gazetteer's vote: do the given and the family name, or the domain of an address, stand in such contexts elsewhere?"""
+    lower = F.lower("pii_value")
+    parts = F.filter(F.split(F.regexp_replace(lower, r"[,.]", " "), r"\s+"), lambda w: F.length(w) > 2)
+    domain = F.regexp_replace(F.regexp_replace(F.regexp_replace(lower, r"^.*?(?:@|[\[({<]\s?(?:at|ät)\s?[\])}>]|\sat\s)\s?", ""), r"\s?[\[({<]\s?(?:dot|punkt|point|punto)\s?[\])}>]\s?|\sdot\s", "."), r"^.*\.(?=[^.]+\.[^.]+$)", "")
+    words = F.when(F.col("pii_type") == "name", F.array_distinct(parts)).otherwise(F.array(domain))
+    named = spans.where("pii_type in ('name', 'email')").withColumn("word", F.explode(words))
+    known = named.where("(votes & 4) = 4").groupBy("pii_type", "word").agg(F.countDistinct("doc_id").alias("n")).where("n >= 3").select("pii_type", "word")
+    hits = named.join(known, ["pii_type", "word"], "left_semi").groupBy("doc_id", "start", "stop", "pii_type").agg(F.countDistinct("word").alias("hits"))
+    joined = spans.join(hits, ["doc_id", "start", "stop", "pii_type"], "left")
+    enough = F.col("hits") >= F.when(F.col("pii_type") == "name", 2).otherwise(1)
+    unknown = (F.col("pii_type") == "name") & F.col("hits").isNull() & F.col("pii_value").rlike("[A-Za-z]{3}")
+    return joined.withColumn("votes", F.when(enough, F.col("votes").bitwiseOR(16)).when(unknown, F.col("votes").bitwiseOR(32)).otherwise(F.col("votes"))).drop("hits")
 
 
 LABELERS = ((1, 2), (4, 8), (16, 32), (64, 128))
 #: Prior log odds, beside the labelers' votes, of a strict format or a person's context that nothing speaks against;
-#: taken off a counter-context without a context, and a bare guess of a name. Votes and classifier can overturn it.
-LEANING = 2.0
+#: taken off a counter-context without a context, and a bare guess of a name. Votes and classifier can overturn it;
+#: it matters in small corpora, whose votes say little (without it, the large check tables give the same items).
+LEANING = 0.5
 #: Starting points of the estimation: (chance to vote for, chance to vote against) a true item, and a false one.
 PRIOR = (((0.95, 0.01), (0.6, 0.3)), ((0.8, 0.05), (0.2, 0.2)), ((0.5, 0.1), (0.05, 0.5)), ((0.01, 0.02), (0.01, 0.5)))
 
@@ -291,6 +297,12 @@ def leaning(kind: str, votes: int) -> float:
     return LEANING if votes & (4 if kind == "name" else 1) and not votes & 128 else 0.0
 
 
+#: Starting shares of true items among candidates, 0.7 where not named: any two capitalised words make a candidate of a name.
+SHARES = {"name": 0.3}
+#: Weight of the starting points against the votes of the corpus.
+ANCHOR = 0.1
+
+
 def estimate(counts: dict[tuple[str, int], int], rounds: int = 30) -> dict[tuple[str, int], float]:
     """The probability that a span of each (type, votes) is a true item, by expectation maximisation."""
     result = {}
@@ -299,9 +311,9 @@ def estimate(counts: dict[tuple[str, int], int], rounds: int = 30) -> dict[tuple
         n = np.array([counts[kind, v] for v in patterns], float)
         lean = np.array([leaning(kind, v) for v in patterns])
         votes = np.array([[0 if v & a else 1 if v & b else 2 for a, b in LABELERS] for v in patterns])
-        share = 0.7
+        share = SHARES.get(kind, 0.7)
         rates = np.array([[[t[0], t[1], 1 - sum(t)] for t in p] for p in PRIOR])  # labeler, true/false, vote
-        anchor = 20.0 * rates
+        anchor = (20.0 + ANCHOR * n.sum()) * rates
         for _ in range(rounds):
             logs = np.log(rates)
             true = np.log(share) + sum(logs[j, 0, votes[:, j]] for j in range(len(LABELERS)))
@@ -317,8 +329,12 @@ def estimate(counts: dict[tuple[str, int], int], rounds: int = 30) -> dict[tuple
     return result
 
 
+#: Training rows at which the classifier has half of its full weight.
+HALF_TRAINED = 500
+
+
 def train(features: list[list[int]], target: list[float], rounds: int = 60) -> np.ndarray:
-    """Logistic regression on hashed features with soft targets; the last weight is the bias."""
+    """Logistic regression on hashed features with soft targets; the last weight is the bias. Few rows give small weights."""
     weights = np.zeros(FEATURES + 1)
     if not features:
         return weights
@@ -331,7 +347,7 @@ def train(features: list[list[int]], target: list[float], rounds: int = 60) -> n
         step = np.append(np.bincount(cols, error[rows], FEATURES), error.sum()) + 1e-3 * weights
         squares += step**2
         weights -= 0.5 * step / np.sqrt(squares)
-    return weights
+    return weights * (len(y) / (len(y) + HALF_TRAINED))
 
 
 def verdict(chance: float, z: float) -> float:

@@ -47,3 +47,13 @@ def test_votes_and_classifier_can_overturn_rules(spark):
     rows = [(i, f"tel=+49 30 90{i:04d} rings") for i in range(60)] + [(i, f"build +49 30 90{i:04d} passed") for i in range(100, 130)] + [(i, f"call +49 30 90{i:04d} today") for i in range(200, 260)]
     found = {r["doc_id"] for r in personal_items(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
     assert found == {*range(60), *range(200, 260)}
+
+
+def test_mail_domains_seen_elsewhere_speak_for_an_address(spark):
+    from codeloom.llm import personal
+    from codeloom.llm.text import map_rows
+
+    rows = [(i, f"contact u{i}.person@known.example today") for i in range(4)] + [(9, "x q.adler [at] known [dot] example y"), (10, "x q.adler@other.test y")]
+    spans = map_rows(spark.createDataFrame(rows, "doc_id long, text string"), personal._spans, personal._SPAN, personal._SPAN_ARROW)
+    votes = {r["doc_id"]: r["votes"] for r in personal.with_gazetteer(spans).where("pii_type = 'email'").collect()}
+    assert votes[9] & 16 and not votes[10] & 16
