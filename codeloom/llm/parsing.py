@@ -1,19 +1,21 @@
 """Source files that do not parse.
 
-Method: every file is parsed by the grammar of its language; a file that fails is parsed by
-all other grammars, the likeliest first by a ranking over its tokens. A foreign success names
-the wrong extension, failure everywhere means corruption. The foreign parses run only for
-files that fail, as no other outcome of theirs is part of any result.
+Method: every file is parsed by the grammars of all languages: its own first, the others in the
+order of a ranking over its tokens, the likeliest first. A foreign success of a file that its own
+grammar rejects names the wrong extension, failure everywhere means corruption. A foreign parse
+ends at the first token, group or statement that breaks the grammar, looking at the first tokens
+before the rest; that never changes its outcome.
 
 Defined results: null content gives no row; empty or blank content is valid; a language without
-a grammar gives ``valid`` null; repeated rows give one row per path (a path with several texts
-is invalid if one of them is). Only the columns path, language and content are read.
+a grammar gives ``valid`` null, as does a Python text beyond the limits of the language's parser
+even when cut down (thousands of operators in one expression or elif branches in one statement); repeated rows give one
+row per path (a path with several texts is invalid if one of them is). ``accepted`` holds all
+languages that take the text, the declared one too. Only the columns path, language and content are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,51 +26,57 @@ from codeloom.llm import syntax
 from codeloom.llm.text import map_rows
 from codeloom.sources.tables import table
 
-#: Words and signs that speak for a language.
+#: Tokens, as white space parts them, that speak for a language.
 MARKS = {
-    "python": r"\bdef \w+\(.*:$|^\s*(?:elif|except|from \w[\w.]* import)\b|\bself\b|\bNone\b|:$",
-    "javascript": r"\brequire\(|\b(?:const|let|var|function)\b|===|=>|;$",
-    "typescript": r": (?:string|number|boolean|unknown)\b|\b(?:private|interface|namespace|readonly) |^import \{|;$",
-    "java": r"^package [\w.]+;|^import [\w.]+;|\b(?:public|protected|private|static|final) |\bString\b|;$",
-    "go": r"^package \w+$|\bfunc \(|\bfunc \w+\(|:=|\bdefer\b|\brange\b",
-    "rust": r"\bfn \w+|\blet (?:mut )?\w+|->|&\w+|::|\bimpl\b|\bpub\b",
-    "c": r"^#include|\b(?:struct|unsigned|char|void|int|double|long) |->|\*\w+|;$",
+    "python": "def elif except: import from None True False self, not and in is lambda: else: try: return: #".split(),
+    "javascript": "const let var function => === !== require( export { } typeof new // null".split(),
+    "typescript": "interface type readonly private public export import const let => : string; number; unknown; === // namespace".split(),
+    "java": "package public private protected static final class void String new import @Override throws int boolean //".split(),
+    "go": "package func := import type struct defer range nil chan go var err map[string]int //".split(),
+    "rust": "fn let mut impl pub use mod -> struct enum match &self, &str, self self, => // u32,".split(),
+    "c": "#include #define struct unsigned char void int double long static const -> /* typedef sizeof".split(),
 }
+_MARKS = {name: frozenset(tokens) for name, tokens in MARKS.items()}
+#: First tokens of a file that a foreign grammar looks at before the next step.
+STEPS = (8, 60)
+CONFLICT = re.compile(r"^(?:<{7} |={7}$|>{7} )", re.M)
 
 
 def ranking(text: str, declared: str) -> list[str]:
-    """Languages other than ``declared``, the likeliest first."""
-    scores = Counter({name: len(_MARKS[name].findall(text)) for name in syntax.LANGUAGES if name != declared})
-    return [name for name, _ in sorted(scores.items(), key=lambda x: (-x[1], x[0]))]
+    """Languages other than ``declared``, the likeliest by the tokens of the text first."""
+    tokens = set(text.split())
+    return sorted((name for name in syntax.LANGUAGES if name != declared), key=lambda name: (-len(_MARKS[name] & tokens), name))
 
 
-_MARKS = {name: re.compile(pattern, re.M) for name, pattern in MARKS.items()}
-CONFLICT = re.compile(r"^(?:<{7} |={7}$|>{7} )", re.M)
+def accepts(name: str, text: str) -> bool:
+    """Does a foreign grammar take the text?"""
+    grammar = syntax.grammar(name)
+    return all(grammar.plausible(text, first) for first in STEPS) and bool(grammar.valid(text))
 
 
 def judge(path: str | None, language: str | None, content: str | None) -> Iterator[tuple]:
-    """(path, language, valid, found_language, cause) of one file."""
+    """(path, language, valid, found_language, cause, accepted) of one file."""
     if path is None or content is None:
         return
     grammar = syntax.grammar(language)
     name = (language or "").strip().lower()
-    if grammar is None:
-        yield path, name, None, None, None
-    elif grammar.valid(content):
-        yield path, name, True, None, None
+    valid = grammar.valid(content) if grammar else None
+    foreign = [x for x in ranking(content, grammar.name if grammar else "") if accepts(x, content)]
+    accepted = [grammar.name, *foreign] if valid else foreign
+    if valid is False:
+        cause = "wrong language" if foreign else "merge conflict" if CONFLICT.search(content) else "corrupt"
+        yield path, name, False, foreign[0] if foreign else None, cause, accepted
     else:
-        other = next((x for x in ranking(content, grammar.name) if syntax.grammar(x).valid(content)), None)
-        cause = "wrong language" if other else "merge conflict" if CONFLICT.search(content) else "corrupt"
-        yield path, name, False, other, cause
+        yield path, name, valid, None, None, accepted
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """path, language, valid, found_language, cause: one row per path with a text."""
-    schema = "path string, language string, valid boolean, found_language string, cause string"
-    arrow = pa.schema([("path", pa.string()), ("language", pa.string()), ("valid", pa.bool_()), ("found_language", pa.string()), ("cause", pa.string())])
+    """path, language, valid, found_language, cause, accepted: one row per path with a text."""
+    schema = "path string, language string, valid boolean, found_language string, cause string, accepted array<string>"
+    arrow = pa.schema([("path", pa.string()), ("language", pa.string()), ("valid", pa.bool_()), ("found_language", pa.string()), ("cause", pa.string()), ("accepted", pa.list_(pa.string()))])
     rows = map_rows(files.select("path", "language", "content"), judge, schema, arrow)
-    worst = F.min(F.struct(F.coalesce(F.col("valid"), F.lit(True)).alias("order"), "language", "valid", "found_language", "cause")).alias("r")
-    return rows.groupBy("path").agg(worst).select("path", "r.language", "r.valid", "r.found_language", "r.cause")
+    worst = F.min(F.struct(F.coalesce(F.col("valid"), F.lit(True)).alias("order"), "language", "valid", "found_language", "cause", "accepted")).alias("r")
+    return rows.groupBy("path").agg(worst).select("path", "r.language", "r.valid", "r.found_language", "r.cause", "r.accepted")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +94,11 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("invalid_rate", F.col("n_invalid") / F.col("n_files"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_causes": p4_causes, "p4_rates": p4_rates}
+def p4_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files of each declared language each grammar accepts."""
+    files = parse_files(table(spark, sf_dir, "source_files"))
+    return files.select("language", F.explode("accepted").alias("accepted_by")).groupBy("language", "accepted_by").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+QUERIES = {"p4_grammars": p4_grammars, "p4_found": p4_found, "p4_causes": p4_causes, "p4_rates": p4_rates}
 ORACLE: dict[str, str] = {}

@@ -19,9 +19,12 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from itertools import islice
+
+import regex
 
 IDENT, NUMBER, STRING, ERROR = "i", "0", "s", "\x00"
-MEMO_LIMIT = 60_000
+MEMO_LIMIT, MEMO_LENGTH = 60_000, 32
 #: Token texts that get a character of their own; several texts may share one.
 OPERATORS = {
     "=": "=", "+=": "=", "-=": "=", "*=": "=", "/=": "=", "%=": "=", "&=": "=", "|=": "=", "^=": "=", "<<=": "=", ">>=": "=", ">>>=": "=", "**=": "=", "&&=": "=", "||=": "=", "??=": "=", "&^=": "=",
@@ -60,7 +63,13 @@ class Grammar:
 
         class Table(dict):
             def __missing__(self, text: str) -> str:
-                return grammar.classify(text, self)
+                if len(self) > MEMO_LIMIT:
+                    self.clear()
+                    self.update(grammar.base)
+                found = grammar.classify(text, self)
+                if len(text) <= MEMO_LENGTH:  # spaces, numbers, short strings and comments come again and again
+                    self[text] = found
+                return found
 
         self.base, self.table = base, Table(base)
         self.roles: dict[str, list[str]] = {"P": [], "S": [], "B": []}
@@ -69,7 +78,7 @@ class Grammar:
         for kind, names in self.group_roles().items():
             self.roles[kind] = names.split()
         self.start = {"P": 0xE000, "S": 0xE200, "B": 0xE400}
-        self.file = None
+        self.file = self.begins = None
         self.define()
         self.memo: dict[str, str] = {}
 
@@ -80,10 +89,6 @@ class Grammar:
         if first == "\n" or first in " \t\r\f\v\u00a0\ufeff":
             return "\n" if self.newlines and "\n" in text else ""
         if first.isalpha() or first in "_$" or first.isidentifier():
-            if len(table) > MEMO_LIMIT:
-                table.clear()
-                table.update(self.base)
-            table[text] = IDENT
             return IDENT
         return self.classify_special(text, first)
 
@@ -172,34 +177,62 @@ class Grammar:
             self.memo[kind + content] = found
         return found or None
 
+    def reduce(self, tokens: str) -> list[str] | None:
+        """The parts at the top and in every bracket still open, without closed groups; None if a bracket or a group is wrong."""
+        pieces = _SPLIT.split(tokens)
+        memo, frame = self.memo, [pieces[0]]
+        stack: list[tuple[str, list[str]]] = []
+        for k in range(1, len(pieces), 2):
+            bracket = pieces[k]
+            kind = _KIND.get(bracket)
+            if kind is None:
+                stack.append((bracket, frame))
+                frame = [pieces[k + 1]]
+                continue
+            if not stack or stack[-1][0] != _OPENS[bracket]:
+                return None
+            content = "".join(frame)
+            symbol = memo.get(kind + content) or self.group(kind, content)
+            if symbol is None:
+                return None
+            frame = stack.pop()[1]
+            frame.append(symbol)
+            frame.append(pieces[k + 1])
+        return ["".join(f) for _, f in stack] + ["".join(frame)]
+
     def valid(self, text: str) -> bool:
         tokens = self.tokens(text)
         if ERROR in tokens:
             return False
-        frame: list[str] = []
-        stack: list[tuple[str, list[str]]] = []
-        for piece in _SPLIT.split(tokens):
-            at = BRACKETS.find(piece) if len(piece) == 1 else -1
-            if at < 0 or not piece:
-                frame.append(piece)
-            elif at % 2 == 0:
-                stack.append((piece, frame))
-                frame = []
-            else:
-                if not stack or stack[-1][0] != BRACKETS[at - 1]:
-                    return False
-                symbol = self.group("PSB"[at // 2], "".join(frame))
-                if symbol is None:
-                    return False
-                frame = stack.pop()[1]
-                frame.append(symbol)
-        if stack:
+        left = self.reduce(tokens)
+        return left is not None and len(left) == 1 and any(self.file.fullmatch(reading) for reading in self.variants(left[0]))
+
+    def plausible(self, text: str, first: int) -> bool:
+        """False if the first tokens alone show that a text breaks the grammar, whatever follows them.
+
+        A wrong token, a closed group without a role, and complete statements that no file can begin
+        with are final; what is still open after the first tokens says nothing.
+        """
+        found = [m[0] for m in islice(self.token.finditer(text), first)]
+        tokens = self.settle("".join(map(self.table.__getitem__, found)))
+        if ERROR in tokens:
             return False
-        return any(self.file.fullmatch(reading) for reading in self.variants("".join(frame)))
+        left = self.reduce(tokens)
+        if left is None:
+            return False
+        top = left[0].rstrip("\n")
+        if "<" in top:  # type arguments may be cut in two but at the end of a statement
+            top = top[: max((k for k, c in enumerate(top) if c == ";" or 0xE400 <= ord(c) < 0xE600), default=-1) + 1]
+        if not top:
+            return True
+        if self.begins is None:
+            self.begins = regex.compile(self.file.pattern)
+        return any(self.begins.fullmatch(reading, partial=True) for reading in self.variants(top))
 
 
 _NEVER = re.compile(r"(?!)()")
 _SPLIT = re.compile(r"([()\[\]{}])")
+_KIND, _OPENS = {")": "P", "]": "S", "}": "B"}, {")": "(", "]": "[", "}": "{"}
 _NUMBER = re.compile(r"0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?\w*|0[bB][01_]+\w*|0[oO]?[0-7_]+\w*|(?:\d[\d_]*)?\.?[\d_]*(?:[eE][+-]?[\d_]+)?(?:[uUlLfFdDn]+|i|[iuf](?:8|16|32|64|128|size))?")
 _C_SPECIAL = r'//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|"(?:[^"\\\n]|\\.)*+"'
 
@@ -615,23 +648,105 @@ class C(Grammar):
 _DIRECTIVE = re.compile(r"#[ \t]*(?:include|define|undef|ifdef|ifndef|if|elif|else|endif|error|warning|pragma|line|import|include_next)\b|#[ \t]*(?:\n|$)")
 
 
+_PY_TOKEN = re.compile(
+    r"(?P<c>\#[^\n]*)|(?P<s>[rRuUbBfFtT]{0,2}(?:\"{3}(?:[^\"\\]|\\.|\"(?!\"\"))*+\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*+'{3}|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'))|(?P<j>\\\r?\n)|(?P<n>\r?\n|\r)|(?P<o>[(\[{])|(?P<e>[)\]}])|(?P<w>\w+)|(?P<x>.)", re.S
+)
+#: Levels of brackets and blocks that are left to the parser at once.
+PY_LEVELS = 30
+
+
+def _parses(code: str, mode: str = "exec") -> bool | None:
+    """Does Python's parser take a text? None where the text is beyond its limits."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            compile(code, "<file>", mode, ast.PyCF_ONLY_AST, dont_inherit=True)
+        return True
+    except RecursionError:
+        return True  # the parse was done, only its tree is too deep to hand over
+    except MemoryError:
+        return None
+    except SyntaxError as e:
+        return None if "too many levels of indentation" in str(e) or "too many nested parentheses" in str(e) else False
+    except ValueError:
+        return False  # null bytes, surrogates
+
+
+def _deep_lines(text: str) -> list[tuple[int, str]] | None:
+    """The logical lines (indentation, code) of a text, with deep bracket groups checked and cut down; None if one is wrong."""
+    out: list[tuple[int, str]] = []
+    stack: list[tuple[str, list[str]]] = []
+    frame: list[str] = []
+    for m in _PY_TOKEN.finditer(text):
+        kind, piece = m.lastgroup, m[0]
+        if kind == "c" or (kind in "jn" and stack):
+            frame.append(" ")
+        elif kind == "n":
+            line = "".join(frame)
+            if line.strip():
+                out.append((len(line) - len(line.lstrip(" \t\f")), line.strip()))
+            frame = []
+        elif kind == "o":
+            stack.append((piece, frame))
+            frame = []
+        elif kind == "e":
+            if not stack or stack[-1][0] + piece not in ("()", "[]", "{}"):
+                return None
+            group = stack[-1][0] + "".join(frame) + piece
+            if len(stack) > PY_LEVELS and "".join(frame).strip():
+                if _parses(group, "eval"):
+                    group = stack[-1][0] + "_" + piece
+                elif piece != "}" and _parses("_" + group, "eval"):
+                    group = "(*_)" if piece == ")" else "[_:_]"
+                else:
+                    return None
+            frame = stack.pop()[1]
+            frame.append(group)
+        else:
+            frame.append(" " if kind == "j" else piece)
+    if stack:
+        return None
+    line = "".join(frame)
+    return out + [(len(line) - len(line.lstrip(" \t\f")), line.strip())] if line.strip() else out
+
+
+def _parses_deep(text: str) -> bool | None:
+    """Like ``_parses`` for texts nested beyond the parser's limits: deep groups and blocks are checked from the inside and cut down."""
+    lines = _deep_lines(text)
+    if lines is None:
+        return False
+    levels, done = [0], [[]]
+    for width, code in [*lines, (0, "pass")]:
+        while width < levels[-1]:
+            block = done.pop()
+            levels.pop()
+            if len(levels) >= PY_LEVELS:
+                body = "\n".join(block)
+                if not (_parses("if _:\n" + body) or _parses("match _:\n" + body)):
+                    return False
+                done[-1].append("".join((" " * len(levels), "pass")))
+            else:
+                done[-1] += block
+        if width > levels[-1]:
+            levels.append(width)
+            done.append([])
+        elif width != levels[-1]:
+            return False
+        done[-1].append(" " * (len(levels) - 1) + code)
+    return _parses("\n".join(done[0]) + "\n")
+
+
 class Python:
-    """Python, by the language's own parser."""
+    """Python, by the language's own parser; None for texts beyond its limits even when cut down."""
 
     name = "python"
 
-    def valid(self, text: str) -> bool:
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                compile(text, "<file>", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
-            return True
-        except (RecursionError, MemoryError):
-            return True  # limits of the parser, not of the grammar
-        except SyntaxError as e:
-            return "too many levels of indentation" in str(e) or "too many nested parentheses" in str(e)
-        except ValueError:
-            return False  # null bytes, surrogates
+    def valid(self, text: str) -> bool | None:
+        found = _parses(text)
+        return _parses_deep(text) if found is None else found
+
+    def plausible(self, text: str, first: int) -> bool:
+        return True
 
 
 _CLASSES = {c.name: c for c in (Python, Script, TypeScript, Java, Go, Rust, C)}

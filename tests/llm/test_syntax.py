@@ -39,8 +39,8 @@ def test_depth_needs_no_stack():
 
 
 def test_causes():
-    assert list(judge("a.go", "go", "def f(x):\n    return x\n"))[0][2:] == (False, "python", "wrong language")
-    assert list(judge("a.go", "Go", "package a\n<<<<<<< x\n"))[0][2:] == (False, None, "merge conflict")
+    assert list(judge("a.go", "go", "def f(x):\n    return x\n"))[0][2:] == (False, "python", "wrong language", ["python"])
+    assert list(judge("a.go", "Go", "package a\n<<<<<<< x\n"))[0][2:] == (False, None, "merge conflict", [])
     assert list(judge("a", "cobol", "x"))[0][2] is None
     assert list(judge(None, "go", "x")) == list(judge("a", "go", None)) == []
 
@@ -51,3 +51,27 @@ def test_rows(spark):
     found = {r["path"]: r["valid"] for r in parse_files(df).collect()}
     assert found == {"a.py": False, "b.py": None, "c.py": True, "e.py": True}
     assert parse_files(df.where("false")).count() == 0
+
+
+def test_all_grammars_read_every_file():
+    assert list(judge("a.js", "javascript", "const a = 1;\n"))[0][2:] == (True, None, None, ["javascript", "typescript"])
+    assert list(judge("a", "cobol", "def f(x):\n    return x\n"))[0][2:] == (None, None, None, ["python"])
+    assert set(list(judge("a.go", "go", ""))[0][5]) == set(syntax.LANGUAGES)
+
+
+@pytest.mark.parametrize("language,text", [(k, t) for k, v in GOOD.items() for t in v])
+def test_first_tokens_never_rule_out_a_valid_text(language, text):
+    for name in syntax.LANGUAGES:
+        if syntax.grammar(name).valid(text):
+            assert all(syntax.grammar(name).plausible(text, first) for first in range(1, 80))
+
+
+def test_python_beyond_the_limits_of_its_parser():
+    valid = syntax.grammar("python").valid
+    deep = "x = " + "(" * 300 + "1" + ")" * 300 + "\n"
+    assert valid(deep) and not valid(deep + "def f(:\n") and not valid(deep.replace("1", "1 +"))
+    assert valid("x = " + "f(" * 300 + "*a, k=[1, {2: 3}][0:1]" + ")" * 300) and not valid("x = " + "f(" * 300 + "a b" + ")" * 300)
+    blocks = "".join(" " * k + f"if a{k}:\n" for k in range(150))
+    assert valid(blocks + " " * 150 + "pass\ny = \"(\"\n") and not valid(blocks + " " * 150 + "pass pass\n")
+    assert not valid(blocks) and not valid(blocks + " " * 150 + "pass\n" + " " * 149 + "  b\n" + "else x\n")
+    assert valid("x = 1" + " + 1" * 50_000) and valid("x = " + "-" * 100_000 + "1") is None
