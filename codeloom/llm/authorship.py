@@ -1,7 +1,7 @@
 """Generated, minified or vendored source files.
 
 Method: thresholds on layout statistics, tuned per language: longest and mean line, shares of
-white space, of letters outside of literals, of numbers, and the longest encoded run. With them
+white space, of words outside of literals, of numbers, and of encoded runs. With them
 the evidence that needs no layout: the flag of the files table, conventional names and folders,
 notices in the head of a text, sizes above 1 MiB, and texts of known third-party files whatever
 their header comment, indentation and line ends.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from codeloom.sources.tables import table
 
 MAX_SIZE = 1 << 20
-HEAD_LINES = 25
-HEAD_CHARS = 4000
+HEAD_LINES = 60
+HEAD_CHARS = 8192
 # Names and folders of tool output and of dependencies, as whole path segments in lower case.
 TOOL_FOLDERS = "generated __generated__ _generated generated-sources generated-src generated_sources autogen auto-generated autogenerated gen gen-src src-gen codegen-out __pycache__ .next .nuxt".split()
 DEPENDENCY_FOLDERS = "vendor node_modules bower_components jspm_packages web_modules third_party third-party thirdparty 3rdparty 3rd_party 3rd-party external externals godeps pods carthage site-packages dist-packages .venv venv virtualenv .tox .bundle deps _vendor vendored".split()
@@ -36,40 +36,74 @@ NOTICE = (
 )
 #: Mentions that are no notices. Fixed values.
 NO_NOTICE = r"maintained by hand|written by hand|hand-?written|generated names are|auto-generated method stub|is generated by the nightly|report is generated"
-_STRINGS = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
-_NUMBERS = r"(?<![A-Za-z_])[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfFn]*"
-#: Thresholds: language -> (least chars of a minified text, its greatest share of white space, its least longest
-#: line, greatest share of other characters than literals and brackets in data). Python keeps its indentation.
-LIMITS = {"python": (400, 0.05, 500, 0.06), "default": (400, 0.10, 200, 0.06)}
-LEAST_DATA = 300
-LEAST_BODY = 40
+#: Languages whose comments begin with #; the others have // and /* */.
+HASH_LANGUAGES = ("python", "py", "ruby", "rb", "shell", "sh", "bash", "yaml", "yml", "toml", "perl", "r", "makefile", "dockerfile")
+_BLOCK = r"\"{3}(?:[^\"\\]++|\\.|\"(?!\"\"))*+\"{3}|'{3}(?:[^'\\]++|\\.|'(?!''))*+'{3}"
+_STRINGS = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`"
+_COMMENTS = {True: rf"#[^\n]*+|(?m:^)[ \t]*+(?:{_BLOCK})", False: r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"}
+#: Strings and comments in one pass: whichever begins first hides the other's marks.
+_MARKED = {True: rf"(?s){_COMMENTS[True]}|({_BLOCK}|{_STRINGS})", False: rf"(?s){_COMMENTS[False]}|({_STRINGS})"}
+_NUMBERS = r"(?<![A-Za-z_])[-+]?(?:0[xX][0-9a-fA-F]++|\d[\d_]*+(?:\.\d++)?(?:[eE][-+]?\d++)?)[uUlLfFn]*+"
+LEAST_DATA, LEAST_MINIFIED = 300, 400
+#: Thresholds by language, half-way between the hand-written files of sf0.1 (5,900 texts) and the rest of them:
+#: a minified text has a smaller share of white space, a greater longest line, a greater mean line; data has a
+#: smaller share of words outside of literals, or a greater share of numbers with at most twice that of words.
+LIMITS = {
+    "python": (0.06, 400, 200, 0.12, 0.70),  # keeps its indentation and line ends
+    "javascript": (0.08, 300, 150, 0.12, 0.70),
+    "typescript": (0.08, 300, 150, 0.12, 0.70),
+    "java": (0.09, 350, 150, 0.11, 0.70),
+    "go": (0.07, 350, 150, 0.12, 0.70),
+    "rust": (0.08, 350, 170, 0.12, 0.70),
+    "c": (0.09, 350, 150, 0.11, 0.75),
+    "default": (0.08, 350, 150, 0.11, 0.70),
+}
+#: Least share of encoded runs in data.
+ENCODED_SHARE = 0.5
 ENCODED_RUN = 400
 
 
-def fingerprint(text: Column) -> Column:
+#: The comments and blank lines before the first line of code, however many.
+LEADING = r"(?s)\A(?:\s++|//[^\n]*+|#[^\n]*+|--[^\n]*+|;[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/|<!--(?:[^-]++|-(?!->))*+-->|\"{3}(?:[^\"]++|\"(?!\"\"))*+\"{3})*+"
+
+
+def hash_comments(language: Column, path: Column) -> Column:
+    """Whether # begins a comment, by language or, where that is unknown, by the path's extension."""
+    named = F.lower(F.trim(F.coalesce(language, F.lit(""))))
+    return F.when(named.isin("", "unknown"), F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"\.(\w+)$", 1)).isin(*HASH_LANGUAGES)).otherwise(named.isin(*HASH_LANGUAGES))
+
+
+def _without(text: Column, hashes: Column, patterns: dict[bool, str], kept: str = "") -> Column:
+    return F.when(hashes, F.regexp_replace(text, patterns[True], kept)).otherwise(F.regexp_replace(text, patterns[False], kept))
+
+
+def fingerprint(text: Column, hashes: Column) -> Column:
     """The hash of a text without comments, indentation, blank lines and line ends.
 
     All comments go, not only the one at the head, in one pass that needs no stack however long
-    they are; null where too little is left to tell texts apart.
+    they are; null where nothing is left.
     """
-    body = F.regexp_replace(text, r"(?s:/\*.*?\*/)|//[^\n]*|#[^\n]*|(?s:\"{3}.*?\"{3})", "")
-    body = F.regexp_replace(body, r"\s+", "")
-    return F.when(F.length(body) >= LEAST_BODY, F.sha2(body, 256))
+    body = F.regexp_replace(_without(text, hashes, _MARKED, "$1"), r"\s+", "")
+    return F.when(F.length(body) > 0, F.sha2(body, 256))
 
 
-def layout(text: Column) -> dict[str, Column]:
-    """Layout statistics of a text."""
+def layout(text: Column, hashes: Column) -> dict[str, Column]:
+    """Layout statistics of a text. Shares of code, numbers and letters are of its characters outside of comments and white space."""
     size = F.length(text)
-    bare = F.regexp_replace(text, r"\s+", "")
     lines = F.split(text, "\n")
-    code = F.regexp_replace(F.regexp_replace(bare, _STRINGS, ""), _NUMBERS, "")
+    body = F.length(F.regexp_replace(_without(text, hashes, _MARKED, "$1"), r"\s+", ""))
+    bare = F.regexp_replace(_without(text, hashes, _MARKED), r"\s+", "")
+    code = F.regexp_replace(bare, _NUMBERS, "")
+    words = F.length(F.regexp_replace(code, r"[^\p{L}\p{N}_$]+", ""))
+    runs = F.regexp_extract_all(text, F.lit(rf"([A-Za-z0-9+/=_-]{{{ENCODED_RUN},}}+)"), F.lit(1))
     return {
         "n_chars": size,
         "longest_line": F.array_max(F.transform(lines, F.length)),
-        "mean_line": size / F.size(lines),
-        "space_share": F.when(size > 0, (size - F.length(bare)) / size),
-        "code_share": F.when(F.length(bare) > 0, F.length(F.regexp_replace(code, r"[\[\](){},;:.=+-]+", "")) / F.length(bare)),
-        "encoded_run": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(rf"([A-Za-z0-9+/=_-]{{{ENCODED_RUN},}})"), F.lit(1)), F.length)), F.lit(0)),
+        "mean_line": F.try_divide(size, F.size(lines)),
+        "space_share": F.try_divide(size - F.length(F.regexp_replace(text, r"\s+", "")), size),
+        "word_share": F.try_divide(words, body),
+        "number_share": F.try_divide(F.length(bare) - F.length(code), body),
+        "encoded_share": F.try_divide(F.aggregate(runs, F.lit(0), lambda n, x: n + F.length(x)), body),
     }
 
 
@@ -81,24 +115,33 @@ def _limit(language: Column, at: int) -> Column:
     return out
 
 
+def _text_column(df: DataFrame, name: str) -> Column:
+    """A column of a table, null where the table has none of the name."""
+    return F.col(name) if name in df.columns else F.lit(None).cast("string").alias(name)
+
+
 def classify(files: DataFrame, source_files: DataFrame, upstream: DataFrame) -> DataFrame:
     """path, reason for every current file that nobody wrote by hand; the first of the reasons that hold."""
     newest = F.max(F.struct("indexed_at", F.coalesce("generated", F.lit(False)).alias("generated"), "size", F.lower("language").alias("language"))).alias("r")
     current = files.where("path is not null").groupBy("path").agg(newest).select("path", "r.generated", "r.size", "r.language")
     folders = F.slice(F.split(F.lower("path"), "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    texts = source_files.where("path is not null and content is not null").select("path", "content")
-    head = F.substring_index(F.substring("content", 1, HEAD_CHARS), "\n", HEAD_LINES)
-    head = F.regexp_replace(head, "\r", "")
+    texts = source_files.where("path is not null and content is not null").select("path", _text_column(source_files, "language"), "content")
+    hashes = hash_comments(F.col("language"), F.col("path"))
+    comments = F.regexp_extract("content", LEADING, 0)
+    lines = F.substring_index(F.substring("content", 1, HEAD_CHARS), "\n", HEAD_LINES)
+    head = F.regexp_replace(F.when(F.length(comments) > F.length(lines), comments).otherwise(lines), "\r", "")
     said = F.regexp_replace(head, "(?im)^.*(?:" + NO_NOTICE + ").*$", "").rlike(NOTICE)
-    judged = texts.select("path", said.alias("notice"), fingerprint(F.col("content")).alias("print"), *(c.alias(n) for n, c in layout(F.col("content")).items()))
-    known = upstream.where("content is not null").select(fingerprint(F.col("content")).alias("print")).where("print is not null").distinct().withColumn("known", F.lit(True))
-    judged = judged.join(known, "print", "left")
+    judged = texts.select("path", said.alias("notice"), fingerprint(F.col("content"), hashes).alias("print"), *(c.alias(n) for n, c in layout(F.col("content"), hashes).items()))
+    copies = upstream.where("content is not null").select(_text_column(upstream, "path"), _text_column(upstream, "language"), "content")
+    known = copies.select(fingerprint(F.col("content"), hashes).alias("print")).where("print is not null").distinct().withColumn("known", F.lit(True))
+    judged = judged.where("print is not null").join(known, "print", "left").unionByName(judged.where("print is null").withColumn("known", F.lit(None).cast("boolean")))
     # Repeated rows of a path: any of them counts.
-    judged = judged.groupBy("path").agg(F.max("notice").alias("notice"), F.max("known").alias("known"), *(F.max(n).alias(n) for n in ("n_chars", "longest_line", "encoded_run")), F.min("space_share").alias("space_share"), F.min("code_share").alias("code_share"))
+    judged = judged.groupBy("path").agg(F.max("notice").alias("notice"), F.max("known").alias("known"), *(F.max(n).alias(n) for n in ("n_chars", "longest_line", "mean_line", "number_share", "encoded_share")), *(F.min(n).alias(n) for n in ("space_share", "word_share")))
     rows = current.join(judged, "path", "left")
-    language = F.col("language")
-    minified = (F.col("n_chars") >= _limit(language, 0)) & (F.col("space_share") < _limit(language, 1)) & (F.col("longest_line") >= _limit(language, 2)) & (F.col("code_share") >= _limit(language, 3))
-    data = (F.col("n_chars") >= LEAST_DATA) & (F.col("code_share") < _limit(language, 3))
+    limit = lambda at: _limit(F.col("language"), at)
+    literal = (F.col("word_share") < limit(3)) | ((F.col("number_share") >= limit(4)) & (F.col("word_share") < 2 * limit(3))) | (F.col("encoded_share") >= ENCODED_SHARE)
+    data = (F.col("n_chars") >= LEAST_DATA) & literal
+    minified = (F.col("n_chars") >= LEAST_MINIFIED) & (F.col("space_share") < limit(0)) & (F.col("longest_line") >= limit(1)) & (F.col("mean_line") >= limit(2)) & (F.col("word_share") >= limit(3))
     reason = (
         F.when(F.col("generated"), "flag")
         .when(F.col("path").rlike(TOOL_NAMES), "name")

@@ -39,3 +39,22 @@ def test_long_comments_and_literals(spark):
     files = spark.createDataFrame([(p, 1, "c", False, 1) for p, _ in rows], "path string, size long, language string, generated boolean, indexed_at long")
     texts = spark.createDataFrame(rows, "path string, content string")
     classify(files, texts, texts.selectExpr("1 AS item_id", "content")).collect()
+
+
+def test_heads_short_copies_and_marks_in_text(spark):
+    licence = "/*\n" + " * Redistribution and use are permitted.\n" * 300 + " */\n"
+    apostrophes = "export function f(a) {\n  // the caller's batch\n  walk(a, b);\n" + "  emit(rows, depth, scope);\n" * 40 + "  // don't\n}\n"
+    rows = [
+        ("a.ts", "typescript", licence + "// Code generated by idl. DO NOT EDIT.\n" + CODE, "notice"),
+        ("b.c", "c", "#include <a.h>\nint b;\n", "third-party text"),
+        ("c.c", "c", "#include <b.h>\nint b;\n", None),
+        ("d.ts", "typescript", apostrophes, None),
+        ("e.js", "unknown", "const URLS = [\n" + "  'http://a.example/b/c/d/e/f/g',\n" * 60 + "];\n", "data"),
+        ("f.go", "go", "package f\nvar x = `" + ("Ab9+" * 40 + "\n") * 20 + "`\n", "data"),
+        ("g.py", "python", '"""' + "A long description of the module.\n" * 40 + '"""\nimport x\n', None),
+    ]
+    files = spark.createDataFrame([(p, 1, l, False, 1) for p, l, *_ in rows], "path string, size long, language string, generated boolean, indexed_at long")
+    texts = spark.createDataFrame([(p, l, c) for p, l, c, _ in rows], "path string, language string, content string")
+    upstream = spark.createDataFrame([(1, "x/b.h", "c", "// head\n  #include <a.h>\r\n\r\nint b;")], "item_id long, path string, language string, content string")
+    found = {r["path"]: r["reason"] for r in classify(files, texts, upstream).collect()}
+    assert found == {p: r for p, *_, r in rows if r}
