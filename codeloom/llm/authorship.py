@@ -134,7 +134,8 @@ def classify(files: DataFrame, source_files: DataFrame, upstream: DataFrame) ->
     judged = texts.select("path", said.alias("notice"), fingerprint(F.col("content"), hashes).alias("print"), *(c.alias(n) for n, c in layout(F.col("content"), hashes).items()))
     copies = upstream.where("content is not null").select(_text_column(upstream, "path"), _text_column(upstream, "language"), "content")
     known = copies.select(fingerprint(F.col("content"), hashes).alias("print")).where("print is not null").distinct().withColumn("known", F.lit(True))
-    judged = judged.where("print is not null").join(known, "print", "left").unionByName(judged.where("print is null").withColumn("known", F.lit(None).cast("boolean")))
+    # Texts without a print get one of their own, which nothing has: null keys would all meet in one task.
+    judged = judged.withColumn("print", F.coalesce("print", F.concat(F.lit("path:"), "path"))).join(known, "print", "left")
     # Repeated rows of a path: any of them counts.
     judged = judged.groupBy("path").agg(F.max("notice").alias("notice"), F.max("known").alias("known"), *(F.max(n).alias(n) for n in ("n_chars", "longest_line", "mean_line", "number_share", "encoded_share")), *(F.min(n).alias(n) for n in ("space_share", "word_share")))
     rows = current.join(judged, "path", "left")
