@@ -48,10 +48,14 @@ def ranking(text: str, declared: str) -> list[str]:
     return sorted((name for name in syntax.LANGUAGES if name != declared), key=lambda name: (-len(_MARKS[name] & tokens), name))
 
 
-def accepts(name: str, text: str) -> bool:
+#: Languages that take most texts of another: nothing is gained by looking at first tokens.
+WIDER = {("javascript", "typescript")}
+
+
+def accepts(name: str, text: str, declared: str = "") -> bool:
     """Does a foreign grammar take the text?"""
     grammar = syntax.grammar(name)
-    return all(grammar.plausible(text, first) for first in STEPS) and bool(grammar.valid(text))
+    return ((declared, name) in WIDER or all(grammar.plausible(text, first) for first in STEPS)) and bool(grammar.valid(text))
 
 
 def judge(path: str | None, language: str | None, content: str | None) -> Iterator[tuple]:
@@ -61,7 +65,7 @@ def judge(path: str | None, language: str | None, content: str | None) -> Iterat
     grammar = syntax.grammar(language)
     name = (language or "").strip().lower()
     valid = grammar.valid(content) if grammar else None
-    foreign = [x for x in ranking(content, grammar.name if grammar else "") if accepts(x, content)]
+    foreign = [x for x in ranking(content, grammar.name if grammar else "") if accepts(x, content, grammar.name if grammar else "")]
     accepted = [grammar.name, *foreign] if valid else foreign
     if valid is False:
         cause = "wrong language" if foreign else "merge conflict" if CONFLICT.search(content) else "corrupt"

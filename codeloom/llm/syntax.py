@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import ast
 import re
+import symtable
 import warnings
 from itertools import islice
 
@@ -52,12 +53,15 @@ class Grammar:
     special = ""
     string_starts = "\"'`"
     newlines = False
+    #: Words are tried before what is special, where nothing special begins like a word.
+    words_first = True
 
     def __init__(self) -> None:
         self.words = {w: _KEYWORD_CHARS[k] for k, w in enumerate(self.keywords.split())}
         self.all_words = "[" + "".join(self.words.values()) + "i]"
         ops = "|".join(map(re.escape, _OPS))
-        self.token = re.compile(rf"{self.special}|[ \t\r\f\v ﻿]+|\n(?:\s*\n)?|[^\W\d][\w$]*|\$[\w$]*|\.?\d(?:\w|\.(?![._]|[A-Za-z]{{2}})|(?<=[eEpP])[+-])*|[()\[\]{{}}]|{ops}|.", re.S)
+        first = r"[^\W\d][\w$]*|" if self.words_first else ""
+        self.token = re.compile(rf"{first}{self.special}|[ \t\r\f\v ﻿]+|\n(?:\s*\n)?|[^\W\d][\w$]*|\$[\w$]*|\.?\d(?:\w|\.(?![._]|[A-Za-z]{{2}})|(?<=[eEpP])[+-])*|[()\[\]{{}}]|{ops}|.", re.S)
         base = OPERATORS | dict(zip(BRACKETS, BRACKETS)) | self.words
         grammar = self
 
@@ -507,6 +511,7 @@ class Rust(Grammar):
     """Rust."""
 
     name = "rust"
+    words_first = False
     keywords = "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while union"
     special = r'//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*+\*/|b?r(\#+)".*?"\1|b?r"[^"]*"|[bc]?"(?:[^"\\]|\\.)*+"|b?\'(?:[^\'\\\n]|\\[^\n]{1,9}?)\'|\'[^\W\d]\w*'.replace(r'(\#+)".*?"\1', r'\#".*?"\#|b?r\#\#".*?"\#\#|b?r\#\#\#".*?"\#\#\#')
     string_starts = "\"'"
@@ -588,6 +593,7 @@ class C(Grammar):
     """C."""
 
     name = "c"
+    words_first = False
     keywords = "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Bool bool"
     special = r"(?<![^\n])[ \t]*\#(?:[^\n\\/]|\\\n|\\.|/(?!\*)|/\*(?:[^*]|\*(?!/))*+\*/)*|" + _C_SPECIAL + r"|[LuU]?'(?:[^'\\\n]|\\.[0-7xa-fA-F]*)+'"
     string_starts = "\"'"
@@ -657,6 +663,12 @@ PY_LEVELS = 30
 
 def _parses(code: str, mode: str = "exec") -> bool | None:
     """Does Python's parser take a text? None where the text is beyond its limits."""
+    if mode == "exec":
+        try:  # the parse and the check of scopes, without a tree to hand over
+            symtable.symtable(code, "<file>", mode)
+            return True
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            pass  # a wrong text, or one that is right but for its scopes
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
