@@ -32,9 +32,14 @@ class GraphStore:
     def nodes(self) -> DataFrame:
         return current_nodes(self.raw("nodes"))
 
+    @cached_property
+    def links(self) -> DataFrame:
+        """Edges of one identity once, whether or not their ends are nodes."""
+        return distinct_edges(self.raw("edges"))
+
     @cached_property
     def edges(self) -> DataFrame:
-        return clean_edges(self.raw("edges"), self.nodes)
+        return clean_edges(self.raw("edges"), self.raw("nodes"))
 
     @cached_property
     def files(self) -> DataFrame:
@@ -49,27 +54,41 @@ class GraphStore:
         columns = columns or ("file_path",)
         s = self.nodes.select(F.col("id").alias("source"), *(F.col(c).alias(f"s_{c}") for c in columns))
         t = self.nodes.select(F.col("id").alias("target"), *(F.col(c).alias(f"t_{c}") for c in columns))
-        return self.edges.join(s, "source").join(t, "target")
+        return self.links.join(s, "source").join(t, "target")
+
+
+def usable_nodes(nodes: DataFrame) -> DataFrame:
+    """Rows that make a node."""
+    return nodes.where("id is not null and kind is not null and name is not null and file_path is not null and language is not null")
 
 
 def current_nodes(nodes: DataFrame) -> DataFrame:
-    good = nodes.where("id is not null and kind is not null and name is not null and file_path is not null and language is not null")
-    good = good.withColumn("kind", norm_kind(F.col("kind"))).withColumn("qualified_name", F.coalesce("qualified_name", "name"))
-    return good.groupBy("id").agg(F.max_by(F.struct(*NODE_COLUMNS), "updated_at").alias("n")).select("id", "n.*")
+    """One row per id. An aggregate per column: those that no later step asks for are neither read nor moved.
 
+    All of them keep the value of the same row, as they compare the same updated_at in the same order.
+    """
+    good = usable_nodes(nodes).withColumn("kind", norm_kind(F.col("kind"))).withColumn("qualified_name", F.coalesce("qualified_name", "name"))
+    return good.groupBy("id").agg(*(F.max_by(c, "updated_at").alias(c) for c in NODE_COLUMNS))
 
-def clean_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    ids = nodes.select("id")
+
+def distinct_edges(edges: DataFrame) -> DataFrame:
     rows = edges.select("source", "target", norm_kind(F.col("kind")).alias("kind"), "line", "col", "metadata", "provenance").where("source is not null and target is not null and kind is not null")
     first = rows.groupBy("source", "target", "kind", F.coalesce("line", F.lit(-1)).alias("l"), F.coalesce("col", F.lit(-1)).alias("c")).agg(F.min(F.struct("metadata", "provenance")).alias("m"))
     data = F.try_parse_json("metadata")
     first = first.select("source", "target", "kind", F.when(F.col("l") >= 0, F.col("l")).alias("line"), F.when(F.col("c") >= 0, F.col("c")).alias("col"), "m.metadata", "m.provenance")
-    first = first.withColumn("confidence", F.try_variant_get(data, "$.confidence", "double")).withColumn("resolved_by", F.try_variant_get(data, "$.resolvedBy", "string"))
-    return first.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return first.withColumn("confidence", F.try_variant_get(data, "$.confidence", "double")).withColumn("resolved_by", F.try_variant_get(data, "$.resolvedBy", "string"))
+
+
+def clean_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct edges between nodes. Ends are looked up among the rows of ``nodes`` as they stand: a semi join needs no distinct ids."""
+    ids = usable_nodes(nodes).select("id")
+    return distinct_edges(edges).join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
 def current_files(files: DataFrame) -> DataFrame:
-    return files.where("path is not null").groupBy("path").agg(F.max_by(F.struct("content_hash", F.lower("language").alias("language"), "size", "modified_at", "indexed_at", "node_count", "generated"), "indexed_at").alias("f")).select("path", "f.*")
+    rows = files.where("path is not null").withColumn("language", F.lower("language"))
+    columns = ("content_hash", "language", "size", "modified_at", "indexed_at", "node_count", "generated")
+    return rows.groupBy("path").agg(*(F.max_by(c, "indexed_at").alias(c) for c in columns))
 
 
 def delete_files(store: GraphStore, paths: DataFrame) -> dict[str, DataFrame]:
