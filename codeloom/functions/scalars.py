@@ -6,10 +6,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-TEST_PATH = r"(^|/)(tests?|__tests__|specs?|e2e|testdata|fixtures)/|(^|/)test_[^/]*$|[._-](test|spec)s?\.[a-z]+$|_test\.[a-z]+$|(^|/)[^/]*Tests?\.(java|kt|cs|swift)$"
+# Names and folders of tests: file names of any case, file names in humps, folders below another, folders at the
+# root, source sets in humps, folders of test support.
+TEST_RULES = (
+    r"(?i:(?:^|/)test[_.][^/]*$|[._-](?:test|tests|spec|specs)\.[a-z0-9]+$)",
+    r"(?:Test|Tests|TestCase|Tester|Spec|Specs)\.[A-Za-z0-9]+$",
+    r"(?i:/(?:tests|test|__tests__|spec|specs|testlib|testing|e2e)/)",
+    r"(?i:^(?:test|tests|spec|specs|e2e)/)",
+    r"(?:^|/)[A-Za-z0-9]*(?:Test|Tests|Spec)/",
+    r"(?i:(?:^|/)(?:[\w.]+[-_]test(?:s|ing)?|testdata|testutils?|test[-_]utils?|fakes?|mocks?|__mocks__|stubs)/)",
+)
+TEST_PATH = "|".join(TEST_RULES)
+NON_PRODUCTION = r"(?:^|/)(?:integration|samples?|examples?|fixtures?|benchmarks?|demos?)/"
 EXTENSIONS = {"ts": "typescript", "tsx": "typescript", "mts": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "py": "python", "pyi": "python", "go": "go", "java": "java", "rs": "rust", "c": "c", "h": "c", "rb": "ruby", "php": "php", "cs": "csharp", "kt": "kotlin", "swift": "swift", "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "scala": "scala", "lua": "lua", "sql": "sql"}
-KIND_WEIGHTS = {"class": 10, "interface": 9, "function": 8, "method": 7, "struct": 9, "enum": 6, "type_alias": 6, "module": 5, "namespace": 5, "constant": 4, "property": 3, "field": 3, "variable": 3, "file": 1, "import": 0}
-VENDORED = ("vendor", "node_modules", "third_party", "external", "bower_components")
+KIND_WEIGHTS = {
+    "function": 10, "method": 10,
+    "interface": 9, "trait": 9, "protocol": 9, "route": 9,
+    "class": 8, "component": 8,
+    "type_alias": 6, "struct": 6, "union": 6,
+    "enum": 5,
+    "module": 4, "namespace": 4,
+    "property": 3, "field": 3, "constant": 3, "enum_member": 3,
+    "variable": 2,
+    "import": 1, "export": 1,
+    "parameter": 0, "file": 0,
+}
+VENDORED = ("vendor", "vendored", "third_party", "third-party", "thirdparty", "external", "externals", "node_modules", "bower_components", "site-packages", "godeps", "pods", ".venv", "venv")
+HEADER_SUFFIXES = (".h", ".hh", ".hpp", ".hxx", ".h++", ".inc", ".d.ts", ".d.mts", ".d.cts", ".pyi", ".pxd")
 
 
 def basename(path: Column) -> Column:
@@ -35,6 +58,21 @@ def is_test_path(path: Column) -> Column:
     return path.rlike(TEST_PATH)
 
 
+def is_test_file(path: Column) -> Column:
+    """The wide reading: also examples, fixtures, benchmarks and demos, but for folders below a src folder."""
+    low = F.lower(path)
+    above = F.when(F.instr(low, "/src/") > 0, F.concat(F.substring_index(low, "/src/", 1), F.lit("/"))).when(low.startswith("src/"), "").otherwise(low)
+    return is_test_path(path) | above.rlike(NON_PRODUCTION)
+
+
+def is_header(path: Column) -> Column:
+    low = F.lower(path)
+    out = low.endswith(HEADER_SUFFIXES[0])
+    for suffix in HEADER_SUFFIXES[1:]:
+        out = out | low.endswith(suffix)
+    return out
+
+
 def is_vendored(path: Column) -> Column:
     return F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*map(F.lit, VENDORED)))
 
@@ -62,12 +100,10 @@ def plurals(word: Column) -> Column:
     return F.array_distinct(F.array(word, F.regexp_replace(word, "ies$", "y"), F.regexp_replace(word, "(?<!s)s$", ""), F.concat(word, F.lit("s"))))
 
 
-def stem(word: Column) -> Column:
-    """A word without the first of its known suffixes."""
-    out = word
-    for suffix in ("ations?", "ing", "ers?", "ed", "ly", "s"):
-        out = F.when(word.rlike(f"^.{{3,}}{suffix}$") & (out == word), F.regexp_replace(word, f"{suffix}$", "")).otherwise(out)
-    return out
+def stems(word: Column) -> Column:
+    """A word with its forms without a known ending, those of three letters and more."""
+    cuts = [F.when(word.rlike(f"^.{{3,}}{suffix}$"), F.regexp_replace(word, f"{suffix}$", tail)) for suffix, tail in (("ations?", ""), ("ing", ""), ("ers?", ""), ("ed", ""), ("ly", ""), ("ies", "y"), ("s", ""))]
+    return F.array_distinct(F.filter(F.array(word, *cuts), lambda w: w.isNotNull() & (F.length(w) >= 3)))
 
 
 def kind_weight(kind: Column) -> Column:

@@ -100,8 +100,8 @@ def file_glob(g, glob: str = "**/src/**/*.py"):
     return g.files.where(F.col("path").rlike(X.glob_pattern(glob))).select("path")
 
 
-@query("f11_under_prefix", "SELECT path FROM f WHERE path = 'atlas-core/src' OR starts_with(path, 'atlas-core/src/')")
-def under_prefix(g, prefix: str = "atlas-core/src"):
+@query("f11_under_prefix", "SELECT path FROM f WHERE path = 'atlas-core/packages' OR starts_with(path, 'atlas-core/packages/')")
+def under_prefix(g, prefix: str = "atlas-core/packages"):
     return g.files.where((F.col("path") == prefix) | F.col("path").startswith(prefix + "/")).select("path")
 
 
@@ -110,12 +110,14 @@ def contains_fold(g, text: str = "cache"):
     return g.nodes.where(F.lower("name").contains(text)).select("id", "name")
 
 
-@query("f14_test_paths", "SELECT path, regexp_matches(path, '" + X.TEST_PATH + "') AS is_test FROM f")
+@query("f14_test_paths", """SELECT path, regexp_matches(lower(regexp_extract(path, '[^/]*$')), '^test[_.]|[._-](test|tests|spec|specs)[.][a-z0-9]+$') OR regexp_matches(path, '(Test|Tests|TestCase|Tester|Spec|Specs)[.][A-Za-z0-9]+$')
+  OR regexp_matches(lower(path), '/(tests|test|__tests__|spec|specs|testlib|testing|e2e)/|^(test|tests|spec|specs|e2e)/') OR regexp_matches(path, '(^|/)[A-Za-z0-9]*(Test|Tests|Spec)/')
+  OR regexp_matches(lower(path), '(^|/)([a-z0-9_.]+[-_]test(s|ing)?|testdata|testutils?|test[-_]utils?|fakes?|mocks?|__mocks__|stubs)/') AS is_test FROM f""")
 def test_paths(g):
     return g.files.select("path", X.is_test_path(F.col("path")).alias("is_test"))
 
 
-@query("f15_vendored_paths", "SELECT path FROM f WHERE list_has_any(string_split(lower(path), '/'), ['vendor', 'node_modules', 'third_party', 'external', 'bower_components'])")
+@query("f15_vendored_paths", "SELECT path FROM f WHERE list_has_any(string_split(lower(path), '/'), ['vendor', 'vendored', 'third_party', 'third-party', 'thirdparty', 'external', 'externals', 'node_modules', 'bower_components', 'site-packages', 'godeps', 'pods', '.venv', 'venv'])")
 def vendored_paths(g):
     return g.files.where(X.is_vendored(F.col("path"))).select("path")
 

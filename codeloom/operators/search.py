@@ -82,10 +82,15 @@ def like_fallback(g, text: str = "cache"):
     return g.nodes.where(name.contains(text) | qualified.contains(text)).select("id", score.alias("score"))
 
 
-@query("s04_fuzzy", "SELECT name, levenshtein(lower(name), 'walkcache') AS distance FROM (SELECT DISTINCT name FROM n) WHERE levenshtein(lower(name), 'walkcache') <= 4")
-def fuzzy(g, text: str = "walkcache", most: int = 4):
-    distance = F.levenshtein(F.lower("name"), F.lit(text), most)
-    return g.nodes.select("name").distinct().withColumn("distance", distance).where("distance >= 0")
+@query("s04_fuzzy", """SELECT name, d AS distance, 1.0 / (1 + d) AS score, id FROM (SELECT *, dense_rank() OVER (ORDER BY d, name) AS place, row_number() OVER (PARTITION BY name ORDER BY id) AS nth FROM
+  (SELECT id, name, levenshtein(lower(name), 'ledgr') AS d FROM n) WHERE d <= 2) WHERE place <= 50 AND nth <= 5""")
+def fuzzy(g, text: str = "ledgr", limit: int = 20):
+    """Names within an edit distance of 1 (texts up to 4 characters) or 2: the nearest names, five nodes of each."""
+    most = 1 if len(text) <= 4 else 2
+    names = g.nodes.select("name").distinct().withColumn("distance", F.levenshtein(F.lower("name"), F.lit(text.lower()), most)).where("distance >= 0")
+    nearest = names.orderBy("distance", "name").limit(max(2 * limit, 50))
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("id"))
+    return g.nodes.select("id", "name").join(nearest, "name").withColumn("nth", nth).where("nth <= 5").select("name", "distance", (1.0 / (1 + F.col("distance"))).alias("score"), "id")
 
 
 @query("s08_name_bonus", "SELECT id, CASE WHEN lower(name) = 'walkcache' THEN 80 WHEN lower(name) IN ('walk', 'cache') THEN 60 WHEN starts_with(lower(name), 'walk') THEN 10 + floor(30.0 * 4 / length(name) + 0.5) WHEN contains(lower(name), 'walk') AND contains(lower(name), 'cache') THEN 15 WHEN contains(lower(name), 'walk') OR contains(lower(name), 'cache') THEN 10 ELSE 0 END::DOUBLE AS bonus FROM n WHERE contains(lower(name), 'walk') OR contains(lower(name), 'cache')")

@@ -116,8 +116,8 @@ def supertypes(g, scratch, depth: int = 8):
 
 
 @query("g09_impact", "SELECT root, id, min(depth)::INTEGER AS depth FROM go GROUP BY root, id", _SEEDS + """, go AS (SELECT id AS root, id, 0 AS depth FROM seeds
-  UNION SELECT go.root, l.b, go.depth + l.w FROM go JOIN (SELECT target AS a, source AS b, 1 AS w FROM e WHERE kind <> 'contains' UNION ALL SELECT source, target, 0 FROM e JOIN n ON n.id = e.source WHERE e.kind = 'contains' AND n.kind IN ('class', 'interface', 'struct', 'enum', 'module', 'namespace')) l ON l.a = go.id WHERE go.depth + l.w <= 2)""")
-def impact(g, scratch, depth: int = 2):
+  UNION SELECT go.root, l.b, go.depth + l.w FROM go JOIN (SELECT target AS a, source AS b, 1 AS w FROM e WHERE kind <> 'contains' UNION ALL SELECT source, target, 0 FROM e JOIN n ON n.id = e.source WHERE e.kind = 'contains' AND n.kind IN ('class', 'interface', 'struct', 'enum', 'module', 'namespace')) l ON l.a = go.id WHERE go.depth + l.w <= 3)""")
+def impact(g, scratch, depth: int = 3):
     """What changes with a node: its dependents a level up, members of containers at the same level."""
     containers = g.nodes.where("kind in ('class', 'interface', 'struct', 'enum', 'module', 'namespace')").select(F.col("id").alias("source"))
     up = scratch.spool(_links(g.edges.where("kind <> 'contains'"), True).distinct())
@@ -172,7 +172,7 @@ def simple_dead_code(g, scratch):
     return g.nodes.where("kind in ('function', 'method', 'class') and not coalesce(is_exported, false)").join(used, "id", "left_anti").select("id")
 
 
-@query("g15_dead_code_report", f"""SELECT reason, count(*) AS n_nodes FROM (SELECT n.id, CASE WHEN coalesce(n.is_exported, false) THEN 'exported' WHEN regexp_matches(n.file_path, '{X.TEST_PATH}') THEN 'test' WHEN coalesce(f.generated, false) THEN 'generated' WHEN list_has_any(string_split(lower(n.file_path), '/'), ['vendor', 'node_modules', 'third_party', 'external', 'bower_components']) THEN 'vendored' WHEN len(coalesce(n.decorators, [])) > 0 THEN 'decorated' WHEN n.id IN (SELECT source FROM e WHERE kind = 'overrides') THEN 'overriding' WHEN n.name IN (SELECT name_tail FROM r WHERE name_tail IS NOT NULL) THEN 'unresolved name' WHEN n.name IN (SELECT name FROM n GROUP BY name HAVING count(*) > 1) THEN 'ambiguous name' ELSE 'dead' END AS reason FROM n LEFT JOIN f ON f.path = n.file_path WHERE n.kind IN ('function', 'method', 'class') AND n.id NOT IN (SELECT target FROM e WHERE kind <> 'contains' AND source <> target)) GROUP BY reason""")
+@query("g15_dead_code_report", f"""SELECT reason, count(*) AS n_nodes FROM (SELECT n.id, CASE WHEN coalesce(n.is_exported, false) THEN 'exported' WHEN regexp_matches(n.file_path, '{X.TEST_PATH}') THEN 'test' WHEN coalesce(f.generated, false) THEN 'generated' WHEN list_has_any(string_split(lower(n.file_path), '/'), ['vendor', 'vendored', 'third_party', 'third-party', 'thirdparty', 'external', 'externals', 'node_modules', 'bower_components', 'site-packages', 'godeps', 'pods', '.venv', 'venv']) THEN 'vendored' WHEN len(coalesce(n.decorators, [])) > 0 THEN 'decorated' WHEN n.id IN (SELECT source FROM e WHERE kind = 'overrides') THEN 'overriding' WHEN n.name IN (SELECT name_tail FROM r WHERE name_tail IS NOT NULL) THEN 'unresolved name' WHEN n.name IN (SELECT name FROM n GROUP BY name HAVING count(*) > 1) THEN 'ambiguous name' ELSE 'dead' END AS reason FROM n LEFT JOIN f ON f.path = n.file_path WHERE n.kind IN ('function', 'method', 'class') AND n.id NOT IN (SELECT target FROM e WHERE kind <> 'contains' AND source <> target)) GROUP BY reason""")
 def dead_code_report(g, scratch):
     """Candidates by the first reason that spares them; the rest is dead."""
     used = g.edges.where("kind <> 'contains' and source <> target").select(F.col("target").alias("id"))
@@ -201,8 +201,8 @@ def file_dependents_walk(g, scratch, depth: int = 3):
     return reach(file_seeds(g), file_pairs(g).select(F.col("t_file_path").alias("a"), F.col("s_file_path").alias("b")), depth, scratch)
 
 
-@query("g17_affected_tests", f"SELECT DISTINCT id AS path FROM go WHERE regexp_matches(id, '{X.TEST_PATH}')", _FILE_SEEDS + ", fp AS (SELECT DISTINCT t_file AS a, s_file AS b FROM x WHERE kind <> 'contains' AND s_file <> t_file), " + _reach_sql("SELECT a, b FROM fp", 3, "top"))
-def affected_tests(g, scratch, depth: int = 3):
+@query("g17_affected_tests", f"SELECT DISTINCT id AS path FROM go WHERE regexp_matches(id, '{X.TEST_PATH}')", _FILE_SEEDS + ", fp AS (SELECT DISTINCT t_file AS a, s_file AS b FROM x WHERE kind <> 'contains' AND s_file <> t_file), " + _reach_sql("SELECT a, b FROM fp", 5, "top"))
+def affected_tests(g, scratch, depth: int = 5):
     """Test files that depend on the most depended-on files."""
     return file_dependents_walk(g, scratch, depth).where(X.is_test_path(F.col("id"))).select(F.col("id").alias("path")).distinct()
 
@@ -275,23 +275,29 @@ def type_hierarchy(g, scratch):
     return subtypes.withColumn("dispatch", F.col("subtypes") >= 8)
 
 
-@query("g24_call_chains", "SELECT a.source AS first, a.target AS second, b.target AS third, c.target AS fourth FROM k a JOIN k b ON b.source = a.target JOIN k c ON c.source = b.target WHERE a.source IN (SELECT id FROM seeds) AND len(list_distinct([a.source, a.target, b.target, c.target])) = 4", _CALLERS + ", k AS (SELECT DISTINCT source, target FROM e WHERE kind = 'calls')")
-def call_chains(g, scratch):
-    """Simple call paths of four nodes from the seeds."""
+@query("g24_call_chains", "SELECT array_to_string(path, '>') AS path, len(path) AS n_nodes FROM walk WHERE len(path) >= 3", _CALLERS + ", k AS (SELECT DISTINCT source, target FROM e WHERE kind = 'calls'), walk AS (SELECT [id] AS path FROM seeds UNION ALL SELECT list_append(path, k.target) FROM walk JOIN k ON k.source = path[-1] WHERE len(path) < 6 AND NOT list_contains(path, k.target))")
+def call_chains(g, scratch, shortest: int = 3, longest: int = 6):
+    """Simple call paths of three to six nodes from the seeds."""
     calls = scratch.spool(g.edges.where("kind = 'calls'").select("source", "target").distinct())
-    paths = busy_callers(g).select(F.array("id").alias("path"))
-    for _ in range(3):
-        paths = paths.withColumn("source", F.element_at("path", -1)).join(calls, "source").where(~F.array_contains("path", F.col("target"))).select(F.concat("path", F.array("target")).alias("path"))
-    return paths.select(*(F.col("path")[i].alias(n) for i, n in enumerate(("first", "second", "third", "fourth"))))
+    level = busy_callers(g).select(F.array("id").alias("path"))
+    found = []
+    for n in range(2, longest + 1):
+        level = scratch.spool(level.withColumn("source", F.element_at("path", -1)).join(calls, "source").where(~F.array_contains("path", F.col("target"))).select(F.concat("path", F.array("target")).alias("path")))
+        found += [level] if n >= shortest else []
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows.select(F.array_join("path", ">").alias("path"), F.size("path").cast("long").alias("n_nodes"))
 
 
-RESTART, ROUNDS = 0.25, 5
+RESTART, ROUNDS = 0.25, 25
+RANKED = ("calls", "references", "extends", "implements", "overrides", "instantiates", "returns", "type_of", "imports", "navigates")
 
 
-@query("g25_random_walk", f"""SELECT id, round(mass, 6) AS mass FROM w{ROUNDS} WHERE mass > 0.000001""", _CALLERS + ", und AS (SELECT source AS a, target AS b FROM e WHERE kind IN ('calls', 'references', 'imports', 'extends', 'implements') UNION ALL SELECT target, source FROM e WHERE kind IN ('calls', 'references', 'imports', 'extends', 'implements')), deg AS (SELECT a, count(*) AS d FROM und GROUP BY a), w0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM seeds) AS mass FROM seeds)" + "".join(f", w{i} AS (SELECT id, sum(mass) AS mass FROM (SELECT u.b AS id, {1 - RESTART} * w.mass / d.d AS mass FROM w{i - 1} w JOIN und u ON u.a = w.id JOIN deg d ON d.a = w.id UNION ALL SELECT w.id, {1 - RESTART} * w.mass FROM w{i - 1} w WHERE w.id NOT IN (SELECT a FROM deg) UNION ALL SELECT id, {RESTART}::DOUBLE / (SELECT count(*) FROM seeds) FROM seeds) GROUP BY id)" for i in range(1, ROUNDS + 1)))
+@query("g25_random_walk", f"""SELECT id, round(mass, 6) AS mass FROM w{ROUNDS} WHERE mass > 0.000001""", _CALLERS + ", und AS (SELECT source AS a, target AS b FROM e WHERE kind IN ('calls', 'references', 'extends', 'implements', 'overrides', 'instantiates', 'returns', 'type_of', 'imports', 'navigates') AND source <> target UNION ALL SELECT target, source FROM e WHERE kind IN ('calls', 'references', 'extends', 'implements', 'overrides', 'instantiates', 'returns', 'type_of', 'imports', 'navigates') AND source <> target), deg AS (SELECT a, count(*) AS d FROM und GROUP BY a), w0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM seeds) AS mass FROM seeds)" + "".join(f", w{i} AS MATERIALIZED (SELECT id, sum(mass) AS mass FROM (SELECT u.b AS id, {1 - RESTART} * w.mass / d.d AS mass FROM w{i - 1} w JOIN und u ON u.a = w.id JOIN deg d ON d.a = w.id UNION ALL SELECT w.id, {1 - RESTART} * w.mass FROM w{i - 1} w WHERE w.id NOT IN (SELECT a FROM deg) UNION ALL SELECT id, {RESTART}::DOUBLE / (SELECT count(*) FROM seeds) FROM seeds) GROUP BY id)" for i in range(1, ROUNDS + 1)))
 def random_walk(g, scratch, rounds: int = ROUNDS):
     """Random walk with restart from the seeds; parallel edges count, dead ends keep their mass."""
-    one = g.edges.where("kind in ('calls', 'references', 'imports', 'extends', 'implements')")
+    one = g.edges.where(F.col("kind").isin(*RANKED) & (F.col("source") != F.col("target")))
     both = _links(one).unionByName(_links(one, True))
     steps = both.groupBy("a", "b").agg(count_rows().alias("w"))
     degrees = both.groupBy("a").agg(count_rows().alias("d"))
