@@ -185,53 +185,65 @@ def hierarchy(links: DataFrame, scratch: Scratch, what: str = "roots", max_links
 
 
 def _by_joins(links: DataFrame, scratch: Scratch, what: str) -> DataFrame:
-    """The rows of components of any size, without gathering a component."""
+    """The rows of components of any size, without gathering a component.
+
+    Ways are carried only where paths are asked for: other rows need lengths alone.
+    """
+    with_path = what == "paths"
+    way = lambda name, column: [column.alias(name)] if with_path else []
+    nothing = F.array().cast("array<string>")
     ends = links.select(F.col("source").alias("v"), F.lit(0).alias("n")).unionByName(links.select(F.col("target").alias("v"), F.lit(1).alias("n")))
-    nodes = ends.groupBy("v").agg(F.sum("n").alias("parents"))
+    nodes = scratch.spool(ends.groupBy("v").agg(F.sum("n").alias("parents")))
     only = links.groupBy("target").agg(F.min("source").alias("parent")).withColumnRenamed("target", "v")
     pointers = nodes.join(only, "v", "left")
     kind = nodes.select(F.col("v").alias("parent"), (F.col("parents") != 1).alias("done"))
     fixed = F.col("parents") != 1
     pointers = pointers.join(kind, "parent", "left").select(
-        "v", fixed.alias("fixed"), F.when(fixed, F.col("v")).otherwise(F.col("parent")).alias("anchor"), F.when(fixed, 0).otherwise(1).alias("dist"),
-        F.when(fixed, F.lit(True)).otherwise(F.coalesce("done", F.lit(False))).alias("done"), F.when(fixed, F.array().cast("array<string>")).otherwise(F.array("v")).alias("tail"),
+        "v", F.when(fixed, F.col("v")).otherwise(F.col("parent")).alias("anchor"), F.when(fixed, 0).otherwise(1).alias("dist"),
+        F.when(fixed, F.lit(True)).otherwise(F.coalesce("done", F.lit(False))).alias("done"), *way("tail", F.when(fixed, nothing).otherwise(F.array("v"))),
     )
-    pointers, last = scratch.spool(pointers), None
-    while (open_now := pointers.where("not done").count()) and open_now != last:
-        last = open_now
-        q = pointers.select(F.col("v").alias("anchor"), F.col("anchor").alias("a2"), F.col("dist").alias("d2"), F.col("done").alias("done2"), F.col("tail").alias("t2"))
-        moved = pointers.where("not done").join(q, "anchor").select("v", "fixed", F.col("a2").alias("anchor"), (F.col("dist") + F.col("d2")).alias("dist"), F.col("done2").alias("done"), F.concat("t2", "tail").alias("tail"))
-        later = scratch.spool(pointers.where("done").unionByName(moved))
-        scratch.drop(pointers)
-        pointers = later
+    pointers = scratch.spool(pointers)
+    settled, open_now, last = pointers.where("done"), scratch.spool(pointers.where("not done")), None
+    # Only what is open moves; what has met its anchor is written once. Chains halve in every round.
+    known = pointers
+    while (left := open_now.count()) and left != last:
+        last = left
+        q = known.select(F.col("v").alias("anchor"), F.col("anchor").alias("a2"), F.col("dist").alias("d2"), F.col("done").alias("done2"), *way("t2", F.col("tail") if with_path else None))
+        moved = open_now.join(q, "anchor").select("v", F.col("a2").alias("anchor"), (F.col("dist") + F.col("d2")).alias("dist"), F.col("done2").alias("done"), *way("tail", F.concat("t2", "tail") if with_path else None))
+        moved = scratch.spool(moved)
+        settled, open_now = settled.unionByName(moved.where("done")), moved.where("not done")
+        known = settled.unionByName(open_now)
     # Pointers still open run round a cycle of single-parent nodes.
-    settled = pointers.where("done")
+    settled = scratch.spool(settled)
     to_junction = links.join(nodes.where("parents > 1").select(F.col("v").alias("target")), "target", "left_semi")
-    p = pointers.select(F.col("v").alias("source"), "anchor", "dist", "done", "tail")
-    inner = scratch.spool(to_junction.join(p, "source").select(F.col("target").alias("j"), "anchor", (F.col("dist") + 1).alias("dist"), "done", "tail"))
+    p = settled.select(F.col("v").alias("source"), "anchor", "dist", *way("tail", F.col("tail") if with_path else None)).withColumn("done", F.lit(True))
+    inner = scratch.spool(to_junction.join(p, "source", "left").select(F.col("target").alias("j"), "anchor", (F.col("dist") + 1).alias("dist"), F.coalesce("done", F.lit(False)).alias("done"), *way("tail", F.col("tail") if with_path else None)))
     need = scratch.spool(inner.groupBy("j").agg(F.count(F.lit(1)).alias("need")))
-    roots = nodes.where("parents = 0").select("v", F.col("v").alias("root"), F.lit(0).alias("depth"), F.array("v").alias("path"))
-    reach = fresh = scratch.spool(roots)
-    ready = roots.select("v")
+    roots = nodes.where("parents = 0").select("v", F.col("v").alias("root"), F.lit(0).alias("depth"), *way("path", F.array("v")))
+    reach = scratch.spool(roots)
+    ready, rounds = reach.select("v"), 0
     while not ready.isEmpty():
         met = inner.where("done").join(ready.select(F.col("v").alias("anchor")), "anchor", "left_semi").groupBy("j").agg(F.count(F.lit(1)).alias("met"))
         rest = scratch.spool(need.join(met, "j", "left").select("j", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need")))
         ready = scratch.spool(rest.where("need = 0").select(F.col("j").alias("v")))
         later = scratch.spool(rest.where("need > 0"))
         scratch.drop(need, rest)
-        need = later
+        need, rounds = later, rounds + 1
         at = inner.join(ready.select(F.col("v").alias("j")), "j", "left_semi").join(reach.withColumnRenamed("v", "anchor"), "anchor")
-        at = at.select("j", "root", F.struct((F.col("dist") + F.col("depth")).alias("depth"), F.concat("path", "tail").alias("path")).alias("best"))
-        fresh = at.groupBy(F.col("j").alias("v"), "root").agg(F.min("best").alias("best")).select("v", "root", "best.depth", F.concat("best.path", F.array("v")).alias("path"))
-        later = scratch.spool(reach.unionByName(fresh))
-        scratch.drop(reach)
-        reach = later
+        depth = (F.col("dist") + F.col("depth")).alias("depth")
+        if with_path:
+            best = at.groupBy(F.col("j").alias("v"), "root").agg(F.min(F.struct(depth, F.concat("path", "tail").alias("path"))).alias("best"))
+            fresh = best.select("v", "root", "best.depth", F.concat("best.path", F.array("v")).alias("path"))
+        else:
+            fresh = at.groupBy(F.col("j").alias("v"), "root").agg(F.min(depth).alias("depth"))
+        # A round's rows are written once; the union of rounds is written anew only now and then, to keep plans small.
+        reach = reach.unionByName(scratch.spool(fresh))
+        reach = scratch.spool(reach) if rounds % PLAN_LEVELS == 0 else reach
     good = settled.join(need.select(F.col("j").alias("anchor")), "anchor", "left_anti")
     if what in ("roots", "paths"):
-        found = good.join(reach.withColumnRenamed("v", "anchor"), "anchor").select(F.col("v").alias("node_id"), F.col("root").alias("root_id"), (F.col("dist") + F.col("depth")).cast("int").alias("tree_depth"), F.concat("path", "tail").alias("path"))
-        bad = nodes.join(good.select("v"), "v", "left_anti").select(F.col("v").alias("node_id"), F.lit("").alias("root_id"), F.lit(-1).alias("tree_depth"), F.lit(None).cast("array<string>").alias("path"))
-        both = found.unionByName(bad)
-        return both if what == "paths" else both.drop("path")
+        found = good.join(reach.withColumnRenamed("v", "anchor"), "anchor").select(F.col("v").alias("node_id"), F.col("root").alias("root_id"), (F.col("dist") + F.col("depth")).cast("int").alias("tree_depth"), *way("path", F.concat("path", "tail") if with_path else None))
+        bad = nodes.join(good.select("v"), "v", "left_anti").select(F.col("v").alias("node_id"), F.lit("").alias("root_id"), F.lit(-1).alias("tree_depth"), *way("path", F.lit(None).cast("array<string>")))
+        return found.unionByName(bad)
     clean = links.join(good.select(F.col("v").alias("source")), "source", "left_semi").join(good.select(F.col("v").alias("target")), "target", "left_semi")
     if what == "descendants":
         steps = scratch.spool(clean)
