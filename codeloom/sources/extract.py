@@ -1,15 +1,13 @@
-"""From a folder of source files to graph rows: scan, admission, ignore rules, symbol extraction.
+"""From a folder of source files to graph rows: scan, admission, ignore rules, symbols, containment, references.
 
 Extractors are registered by language; each takes (path, text) and yields (kind, name,
-start_line, end_line, parent). Python uses the language's own parser, the others patterns over
-lines, with ends by brackets or indentation left open.
+start_line, end_line, parent). Seven languages share ``structure``, which reads broken files too.
 """
 
 from __future__ import annotations
 
-import ast
+import hashlib
 import re
-import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as X
+from codeloom.sources import structure
+from codeloom.operators.store import current_nodes, with_sql
 from codeloom.sources.tables import table
 
 MAX_SIZE = 1 << 20
@@ -32,53 +32,18 @@ def extractor(*languages: str):
     return register
 
 
-@extractor("python")
-def python_symbols(path: str, text: str):
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return
-    todo: list[tuple[ast.AST, str | None]] = [(tree, None)]
-    while todo:
-        node, parent = todo.pop()
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, ast.ClassDef):
-                yield "class", child.name, child.lineno, child.end_lineno or child.lineno, parent
-                todo.append((child, child.name))
-            elif isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                yield ("method" if isinstance(node, ast.ClassDef) else "function"), child.name, child.lineno, child.end_lineno or child.lineno, parent
-                todo.append((child, child.name))
-            elif not isinstance(child, ast.expr):
-                todo.append((child, parent))
-
-
-# How declarations of a language begin.
-PATTERNS = {
-    "go": [("method", r"^func \(\w+ \*?(?P<parent>\w+)\) (?P<name>\w+)"), ("function", r"^func (?P<name>\w+)"), ("struct", r"^type (?P<name>\w+) struct\b"), ("interface", r"^type (?P<name>\w+) interface\b")],
-    "rust": [("function", r"^\s*(?:pub(?:\([^)]*\))? )?(?:async |unsafe |const )*fn (?P<name>\w+)"), ("struct", r"^\s*(?:pub(?:\([^)]*\))? )?struct (?P<name>\w+)"), ("enum", r"^\s*(?:pub )?enum (?P<name>\w+)"), ("interface", r"^\s*(?:pub )?trait (?P<name>\w+)")],
-    "java": [("class", r"^\s*(?:public |private |protected |static |final |abstract )*class (?P<name>\w+)"), ("interface", r"^\s*(?:public |private |protected |static )*interface (?P<name>\w+)"), ("method", r"^\s*(?:public |private |protected )(?:static |final |abstract |synchronized )*[\w<>\[\], ]+ (?P<name>\w+)\([^;]*\{")],
-    "c": [("function", r"^(?:static |inline |extern )*(?:const )?\w[\w ]* \**(?P<name>\w+)\([^;]*\)\s*\{"), ("struct", r"^struct (?P<name>\w+) \{")],
-    "typescript": [("class", r"^\s*(?:export )?(?:default )?(?:abstract )?class (?P<name>\w+)"), ("interface", r"^\s*(?:export )?interface (?P<name>\w+)"), ("function", r"^\s*(?:export )?(?:default )?(?:async )?function (?P<name>\w+)"), ("namespace", r"^\s*(?:export )?namespace (?P<name>\w+)")],
-    "javascript": [("class", r"^\s*(?:export )?(?:default )?class (?P<name>\w+)"), ("function", r"^\s*(?:export )?(?:default )?(?:async )?function (?P<name>\w+)")],
-}
-_COMPILED = {k: [(kind, re.compile(p)) for kind, p in v] for k, v in PATTERNS.items()}
-
-
-def _line_symbols(language: str) -> Extractor:
+def _structured(language: str) -> Extractor:
     def run(path: str, text: str):
-        for k, line in enumerate(text.split("\n"), 1):
-            for kind, pattern in _COMPILED[language]:
-                if m := pattern.match(line):
-                    yield kind, m["name"], k, k, m.groupdict().get("parent")
-                    break
+        found = structure.symbols(text, language)
+        for s in found:
+            if s.kind != "impl":
+                yield s.kind, s.name, s.start, s.end, found[s.parent].name if s.parent is not None else None
 
     return run
 
 
-for _language in PATTERNS:
-    REGISTRY[_language] = _line_symbols(_language)
+for _language in structure.LANGUAGES:
+    REGISTRY[_language] = _structured(_language)
 
 
 def scan(spark: SparkSession, folder: str, ignore: list[str] | None = None) -> DataFrame:
@@ -105,26 +70,84 @@ _SCHEMA = "id string, kind string, name string, qualified_name string, file_path
 _ARROW = pa.schema([(n, pa.string()) for n in ("id", "kind", "name", "qualified_name", "file_path", "language")] + [("start_line", pa.int32()), ("end_line", pa.int32())])
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Symbols of files (path, language, content). The id is the kind and a hash of path, kind, name and line."""
+def symbol_id(kind: str, path: str, name: str, start: int) -> str:
+    return f"{kind}:{hashlib.sha256(f'{path}:{kind}:{name}:{start}'.encode()).hexdigest()[:32]}"
 
-    def run(batches):
-        import hashlib
 
+def _map_files(files: DataFrame, function, schema: str, arrow: pa.Schema) -> DataFrame:
+    """Rows of ``function(path, language, text)`` over all files with a text."""
+
+    def run(batches):
         for batch in batches:
             out = []
             for path, language, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if path is None or text is None:
-                    continue
-                language = (language or "").lower()
-                stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                for kind, name, start, end, parent in REGISTRY.get(language, lambda p, t: iter(()))(path, text):
-                    digest = hashlib.sha256(f"{path}:{kind}:{name}:{start}".encode()).hexdigest()[:32]
-                    out.append((f"{kind}:{digest}", kind, name, f"{stem}::{parent}.{name}" if parent else f"{stem}::{name}", path, language, start, end))
+                if path is not None and text is not None:
+                    out += function(path, (language or "").strip().lower(), text)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return files.select("path", "language", "content").mapInArrow(run, schema)
+
+
+def extract(files: DataFrame) -> DataFrame:
+    """Symbols of files (path, language, content). The id is the kind and a hash of path, kind, name and line."""
+
+    def rows(path, language, text):
+        stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        for kind, name, start, end, parent in REGISTRY.get(language, lambda p, t: iter(()))(path, text):
+            yield symbol_id(kind, path, name, start), kind, name, f"{stem}::{parent}.{name}" if parent else f"{stem}::{name}", path, language, start, end
+
+    return _map_files(files, rows, _SCHEMA, _ARROW)
+
+
+def extract_containment(files: DataFrame) -> DataFrame:
+    """(source, target, kind, line): files contain their outermost symbols, symbols those inside them."""
+
+    def rows(path, language, text):
+        found = structure.symbols(text, language)
+        for s in found:
+            up = s.parent
+            while up is not None and found[up].kind == "impl":
+                up = found[up].parent
+            if s.kind != "impl":
+                source = symbol_id(found[up].kind, path, found[up].name, found[up].start) if up is not None else symbol_id("file", path, path.rsplit("/", 1)[-1], 1)
+                yield source, symbol_id(s.kind, path, s.name, s.start), "contains", s.start
+
+    arrow = pa.schema([("source", pa.string()), ("target", pa.string()), ("kind", pa.string()), ("line", pa.int32())])
+    return _map_files(files, rows, "source string, target string, kind string, line int", arrow)
+
+
+def extract_references(files: DataFrame) -> DataFrame:
+    """(from_node_id, reference_name, reference_kind, line, col, file_path, language) of imports, supertypes and calls."""
+
+    def rows(path, language, text):
+        found = structure.symbols(text, language)
+        for r in structure.references(text, language, found):
+            at = found[r.owner] if r.owner is not None else None
+            yield symbol_id(at.kind, path, at.name, at.start) if at else symbol_id("file", path, path.rsplit("/", 1)[-1], 1), r.name, r.kind, r.line, r.col, path, language
+
+    arrow = pa.schema([(n, pa.string()) for n in ("from_node_id", "reference_name", "reference_kind")] + [("line", pa.int32()), ("col", pa.int32()), ("file_path", pa.string()), ("language", pa.string())])
+    return _map_files(files, rows, "from_node_id string, reference_name string, reference_kind string, line int, col int, file_path string, language string", arrow)
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "source_files").select("path", "language", "content").distinct()
+
+
+def sc07_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many functions of the nodes table, by language, the extraction finds at the same lines of their files."""
+    nodes = current_nodes(table(spark, sf_dir, "nodes")).where("kind in ('function', 'method') and end_line > start_line")
+    nodes = nodes.select("file_path", "name", "start_line", "end_line", "language").distinct()
+    found = extract(_texts(spark, sf_dir)).where("kind in ('function', 'method')").select("file_path", "name", "start_line", "end_line")
+    return nodes.join(found, ["file_path", "name", "start_line", "end_line"], "left_semi").groupBy("language").agg(F.count(F.lit(1)).alias("n_functions"))
+
+
+def sc07_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_containment(_texts(spark, sf_dir))
+
 
-    return files.select("path", "language", "content").mapInArrow(run, _SCHEMA)
+def sc10_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_references(_texts(spark, sf_dir))
 
 
 def sc07_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +163,9 @@ def sc03_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files").select("path").distinct().where(ignored(F.col("path"), rules))
 
 
-QUERIES = {"sc03_ignored": sc03_ignored, "sc04_admitted": sc04_admitted, "sc07_symbols": sc07_symbols}
+QUERIES = {"sc03_ignored": sc03_ignored, "sc04_admitted": sc04_admitted, "sc07_symbols": sc07_symbols, "sc07_agreement": sc07_agreement, "sc07_containment": sc07_containment, "sc10_references": sc10_references}
 ORACLE = {
+    "sc07_agreement": with_sql("SELECT language, count(*) AS n_functions FROM (SELECT DISTINCT file_path, name, start_line, end_line, language FROM n WHERE kind IN ('function', 'method') AND end_line > start_line AND file_path IN (SELECT path FROM source_files WHERE content IS NOT NULL)) GROUP BY language"),
     "sc04_admitted": "SELECT DISTINCT path FROM files WHERE size <= 1048576",
     "sc03_ignored": "SELECT path FROM (SELECT DISTINCT path FROM files WHERE path IS NOT NULL) WHERE CASE WHEN regexp_matches(path, '(^|/)tests/') THEN true WHEN regexp_matches(path, '^src/.*(/|$)') THEN false WHEN regexp_matches(path, '(^|/)[^/]*\\.min\\.js(/|$)') THEN true WHEN regexp_matches(path, '(^|/)node_modules/') THEN true WHEN regexp_matches(path, '(^|/)vendor/') THEN true ELSE false END",
 }
