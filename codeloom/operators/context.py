@@ -166,10 +166,14 @@ def effects(g, scratch):
     return calls.groupBy(effect.alias("effect")).agg(count_rows().alias("n_calls")).where("effect is not null")
 
 
-@query("t07_reattached", "SELECT DISTINCT x.source, x.target, m.id AS candidate FROM x JOIN n m ON m.kind = x.t_kind AND m.name = x.t_name AND m.id <> x.target AND m.file_path <> x.t_file WHERE x.kind = 'calls' AND x.t_file IN (SELECT path FROM f WHERE generated)")
+@query("t07_reattached", "SELECT x.source, x.target, min(m.id) AS candidate FROM x JOIN n m ON m.kind = x.t_kind AND m.name = x.t_name AND m.id <> x.target AND m.file_path <> x.t_file WHERE x.kind = 'calls' AND x.t_file IN (SELECT path FROM f WHERE generated) GROUP BY x.source, x.target")
 def reattached(g, scratch):
-    """Where calls into removed files could go: nodes of the same kind and name elsewhere."""
+    """Where calls into removed files go: the least node of the same kind and name in another file."""
     gone = g.files.where("generated").select(F.col("path").alias("t_file_path"))
-    calls = g.located("file_path", "kind", "name").where("kind = 'calls'").join(gone, "t_file_path", "left_semi").select("source", "target", "t_file_path", F.col("t_kind").alias("kind"), F.col("t_name").alias("name"))
-    rows = calls.join(g.nodes.select("kind", "name", F.col("id").alias("candidate"), "file_path"), ["kind", "name"]).where("candidate <> target and file_path <> t_file_path")
-    return rows.select("source", "target", "candidate").distinct()
+    calls = g.located("file_path", "kind", "name").where("kind = 'calls'").join(gone, "t_file_path", "left_semi").select("source", "target", "t_file_path", F.col("t_kind").alias("kind"), F.col("t_name").alias("name")).distinct()
+    # The least node of each file, and of those the two least: one of them lies in another file than the target.
+    files = g.nodes.groupBy("kind", "name", "file_path").agg(F.min("id").alias("id"))
+    place = F.row_number().over(Window.partitionBy("kind", "name").orderBy("id"))
+    two = files.withColumn("place", place).where("place <= 2").groupBy("kind", "name").agg(F.sort_array(F.collect_list(F.struct("id", "file_path"))).alias("two"))
+    other = F.filter("two", lambda c: c["file_path"] != F.col("t_file_path"))
+    return calls.join(two, ["kind", "name"]).where(F.size(other) > 0).select("source", "target", other[0]["id"].alias("candidate"))

@@ -72,7 +72,7 @@ def inherited_overrides(g, kinds=("extends", "implements", "overrides", "type_of
     return overriding(types, members(g, ("method", "property", "field")))
 
 
-def structural(interfaces: DataFrame, structs: DataFrame, cap: int = CHANNEL_CAP) -> DataFrame:
+def structural(interfaces: DataFrame, structs: DataFrame, cap: int | None = CHANNEL_CAP) -> DataFrame:
     """Struct to interface whose method names it all has: relational division, rarest name first.
 
     Both have owner, name. A struct is looked up by the interface's rarest method only, then the rest is
@@ -85,8 +85,11 @@ def structural(interfaces: DataFrame, structs: DataFrame, cap: int = CHANNEL_CAP
     rarest = asked.join(common, "name", "left").groupBy("target").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "name")).alias("r")).select("target", F.col("r.name").alias("name"))
     pairs = rarest.join(held.withColumnRenamed("owner", "source"), "name").where("source <> target").select("source", "target")
     met = pairs.join(asked, "target").join(held.withColumnRenamed("owner", "source"), ["source", "name"]).groupBy("source", "target").agg(count_rows().alias("met"))
+    met = met.join(sizes, "target").where("met = size")
+    if cap is None:
+        return met.select("source", "target")
     nth = F.row_number().over(Window.partitionBy("target").orderBy("source"))
-    return met.join(sizes, "target").where("met = size").withColumn("nth", nth).where(F.col("nth") <= cap).select("source", "target")
+    return met.withColumn("nth", nth).where(F.col("nth") <= cap).select("source", "target")
 
 
 @query("y09_go_structural", """SELECT s.owner AS source, i.owner AS target FROM (SELECT DISTINCT owner, name FROM m WHERE language = 'go') i JOIN (SELECT DISTINCT owner, name FROM m WHERE language = 'go') s ON s.name = i.name AND s.owner <> i.owner
@@ -227,6 +230,14 @@ def mapper_matches(statements: DataFrame, methods: DataFrame) -> DataFrame:
     return named.join(one, "key").where("source <> target").select("source", "target").distinct()
 
 
+@query("y02_structural_implements", "SELECT s.owner AS source, i.owner AS target FROM m s JOIN m i ON s.name = i.name AND s.owner <> i.owner JOIN size ON size.owner = i.owner WHERE s.language = i.language GROUP BY s.owner, i.owner, size.c HAVING count(DISTINCT i.name) = size.c AND size.c >= 1", "m AS (SELECT DISTINCT e.source AS owner, n.name, n.language FROM e JOIN n ON n.id = e.target JOIN n o ON o.id = e.source WHERE e.kind = 'contains' AND e.source <> e.target AND n.kind IN ('property', 'field', 'method') AND o.kind IN ('struct', 'class')), size AS (SELECT owner, count(*) AS c FROM m GROUP BY owner)")
+def structural_implements(g):
+    """Types whose members include all names of another type of their language."""
+    owners = g.nodes.where("kind in ('struct', 'class')").select(F.col("id").alias("owner"))
+    held = members(g, ("property", "field", "method")).join(owners, "owner", "left_semi").select("owner", F.concat_ws(":", "language", "name").alias("name"))
+    return structural(held, held, None)
+
+
 @query("y10_merged_passes")
 def merged_passes(g):
     """All passes over these data in order, the first edge of each pair."""

@@ -437,10 +437,13 @@ def cap_per_directory(g, cap: int = 2):
 @query("w09_best_candidate", "SELECT from_node_id, reference_name, line, col, id FROM (SELECT r.*, n.id, row_number() OVER (PARTITION BY r.from_node_id, r.reference_name, r.line, r.col ORDER BY (n.file_path = r.file_path) DESC, (n.language = r.language) DESC, n.id) AS rank FROM r JOIN n ON n.name = regexp_extract(regexp_replace(r.reference_name, '/\\d+$', ''), '([^.:]*)$', 1)) WHERE rank = 1")
 def best_candidate(g):
     """The best node for every reference: same file, then same language, then the least id."""
-    refs = g.refs.select("from_node_id", "reference_name", "line", "col", F.col("file_path").alias("r_file"), F.col("language").alias("r_language"), X.name_tail(F.col("reference_name")).alias("name"))
-    rows = refs.join(g.nodes.select("id", "name", "file_path", "language"), "name")
-    order = Window.partitionBy("from_node_id", "reference_name", "line", "col").orderBy(F.desc(F.col("file_path") == F.col("r_file")), F.desc(F.col("language") == F.col("r_language")), "id")
-    return rows.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("from_node_id", "reference_name", "line", "col", "id")
+    refs = g.refs.select("from_node_id", "reference_name", "line", "col", F.col("file_path").alias("file_path"), "language", X.name_tail(F.col("reference_name")).alias("name"))
+    # One node per name and place is enough: no pairs of all references and all nodes of a common name.
+    least = g.nodes.groupBy("name", "file_path", "language").agg(F.min("id").alias("i"))
+    rungs = [("name", "file_path", "language"), ("name", "file_path"), ("name", "language"), ("name",)]
+    for k, keys in enumerate(rungs):
+        refs = refs.join(least.groupBy(*keys).agg(F.min("i").alias(f"i{k}")), [*keys], "left")
+    return refs.withColumn("id", F.coalesce(*(f"i{k}" for k in range(len(rungs))))).where("id is not null").select("from_node_id", "reference_name", "line", "col", "id").distinct()
 
 
 @query("u03_definition_delta", "(SELECT file_path, name FROM n WHERE updated_at > (SELECT median(updated_at) FROM n) EXCEPT SELECT file_path, name FROM n WHERE updated_at <= (SELECT median(updated_at) FROM n)) UNION ALL (SELECT file_path, name FROM n WHERE updated_at <= (SELECT median(updated_at) FROM n) EXCEPT SELECT file_path, name FROM n WHERE updated_at > (SELECT median(updated_at) FROM n))")

@@ -216,14 +216,3 @@ def override_edges(g):
     base = methods.select(F.col("owner").alias("base"), F.col("t").alias("source"), "name")
     sub = methods.select(F.col("owner").alias("sub"), F.col("t").alias("target"), "name")
     return types.join(base, "base").join(sub, ["sub", "name"]).select("source", "target").distinct()
-
-
-@query("y02_structural_implements", "SELECT s.owner AS source, i.owner AS target FROM m s JOIN m i ON s.name = i.name AND s.owner <> i.owner JOIN size ON size.owner = i.owner WHERE s.language = i.language GROUP BY s.owner, i.owner, size.c HAVING count(DISTINCT i.name) = size.c AND size.c >= 1", "m AS (SELECT DISTINCT e.source AS owner, n.name, n.language FROM e JOIN n ON n.id = e.target JOIN n o ON o.id = e.source WHERE e.kind = 'contains' AND n.kind = 'method' AND o.kind IN ('struct', 'class')), size AS (SELECT owner, count(*) AS c FROM m GROUP BY owner)")
-def structural_implements(g):
-    """Types whose methods include all names of another type's: relational division by counts."""
-    owners = g.nodes.where("kind in ('struct', 'class')").select(F.col("id").alias("source"))
-    methods = g.edges.where("kind = 'contains'").join(owners, "source", "left_semi").join(g.nodes.where("kind = 'method'").select(F.col("id").alias("target"), "name", "language"), "target").select(F.col("source").alias("owner"), "name", "language").distinct()
-    sizes = methods.groupBy("owner").agg(count_rows().alias("c"))
-    other = methods.join(sizes, "owner").select(F.col("owner").alias("target"), "name", "language", "c")
-    both = methods.withColumnRenamed("owner", "source").join(other, ["name", "language"]).where("source <> target")
-    return both.groupBy("source", "target", "c").agg(F.countDistinct("name").alias("met")).where("met = c").select("source", "target")

@@ -162,6 +162,12 @@ def path_proximity(g):
 def name_overlap(g, least: float = 0.5):
     """Members of one class whose names share half of their words."""
     members = g.located("name", "kind").where("kind = 'contains' and s_kind = 'class'").select(F.col("source").alias("owner"), F.col("t_name").alias("name")).distinct().withColumn("s", X.segments(F.col("name")))
-    other = members.select("owner", F.col("name").alias("other"), F.col("s").alias("o"))
+    # Names that share half of all their words share one of the rarest of each: those looked up, not all pairs of a class.
+    words = members.select("owner", "name", "s", F.explode("s").alias("word"))
+    common = words.groupBy("word").agg(count_rows().alias("c"))
+    rank = F.row_number().over(Window.partitionBy("owner", "name").orderBy("c", "word"))
+    rare = words.join(common, "word").withColumn("rank", rank).where(F.col("rank") <= F.size("s") - F.ceil(least * F.size("s")) + 1).select("owner", "name", "s", "word")
+    other = rare.select("owner", "word", F.col("name").alias("other"), F.col("s").alias("o"))
+    pairs = rare.join(other, ["owner", "word"]).where("name < other").select("owner", "name", "s", "other", "o").distinct()
     jaccard = F.size(F.array_intersect("s", "o")) / F.size(F.array_union("s", "o"))
-    return members.join(other, "owner").where("name < other").withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select("name", "other", F.round("jaccard", 6).alias("jaccard"))
+    return pairs.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select("name", "other", F.round("jaccard", 6).alias("jaccard"))
