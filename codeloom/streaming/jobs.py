@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from codeloom.operators.store import current_files
+from codeloom.operators.store import GraphStore, current_files, with_sql
 from codeloom.plans.scratch import Scratch, shared_dir
 from codeloom.sources.tables import table
 
@@ -81,25 +81,84 @@ def t03_debounced_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(sessions(table_stream(spark, sf_dir, "events")), Scratch(spark, "t03"))
 
 
+SYNC_BUCKETS = 64
+
+
+class BucketedTable:
+    """A table of current rows in buckets of its key, each the rows of one folder: a batch writes anew only the buckets it touches."""
+
+    def __init__(self, scratch: Scratch, key: str, newest: Callable[[DataFrame], DataFrame], buckets: int = SYNC_BUCKETS) -> None:
+        self.scratch, self.key, self.newest, self.buckets = scratch, key, newest, buckets
+        self.parts: dict[int, DataFrame] = {}
+
+    def merge(self, batch: DataFrame) -> None:
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        fresh = self.newest(batch).withColumn("bucket", bucket)
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+        rows = self.newest(fresh.drop("bucket").unionByName(old.drop("bucket"))) if (old := self._read(touched)) is not None else fresh.drop("bucket")
+        written = self.scratch.spool(rows.withColumn("bucket", bucket))
+        self.parts |= dict.fromkeys(touched, written)
+
+    def _read(self, wanted: list[int]) -> DataFrame | None:
+        held: dict[int, tuple[DataFrame, list[int]]] = {}
+        for b in wanted:
+            if b in self.parts:
+                held.setdefault(id(self.parts[b]), (self.parts[b], []))[1].append(b)
+        out = None
+        for df, own in held.values():
+            part = df.where(F.col("bucket").isin(own))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def rows(self) -> DataFrame | None:
+        out = self._read(sorted(self.parts))
+        return None if out is None else out.drop("bucket")
+
+
 def t05_incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files table built by upserts of micro-batches: the same as a full rebuild."""
     scratch = Scratch(spark, "t05")
-    kept: list[DataFrame] = []
-
-    def sync(batch: DataFrame, epoch: int) -> None:
-        fresh = current_files(batch)
-        merged = current_files(kept[0].unionByName(fresh)) if kept else fresh
-        kept[:] = [scratch.spool(merged)]
-
+    kept = BucketedTable(scratch, "path", current_files)
     rows = table(spark, sf_dir, "files")
     half = rows.withColumn("part", F.pmod(F.xxhash64("path", "indexed_at"), F.lit(2)))
     arrivals = f"{shared_dir(spark)}/{scratch.root.rsplit('/', 1)[-1]}-arrivals"
     half.write.partitionBy("part").parquet(arrivals)
     stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "2").parquet(arrivals)
-    run = stream.writeStream.option("checkpointLocation", f"{scratch.root}/progress").foreachBatch(sync).trigger(availableNow=True).start()
+    run = stream.writeStream.option("checkpointLocation", f"{scratch.root}/progress").foreachBatch(lambda batch, epoch: kept.merge(batch)).trigger(availableNow=True).start()
     run.awaitTermination()
     scratch._delete(arrivals)
-    return (kept[0] if kept else current_files(rows)).select("path", "content_hash", "indexed_at")
+    done = kept.rows()
+    return (current_files(rows) if done is None else done).select("path", "content_hash", "indexed_at")
+
+
+def watch(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """A stream of the files that appear below a folder or change: path, modificationTime, length, content."""
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+
+
+def t08_reopened_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges to open again as definitions of their target's name came or went between two states of the nodes, split at the median time."""
+    g = GraphStore(spark, sf_dir)
+    cut = g.nodes.agg(F.median("updated_at")).first()[0] or 0
+    named = g.nodes.select("file_path", "name", (F.col("updated_at") > cut).alias("late")).distinct()
+    both = named.groupBy("file_path", "name").agg(F.bool_or("late").alias("late"), F.bool_or(~F.col("late")).alias("early"))
+    names = both.where("late <> early").select(F.col("name").alias("t_name")).distinct()
+    edges = g.located("name").where("kind <> 'contains' and coalesce(provenance, '') <> 'heuristic'")
+    return edges.join(names, "t_name", "left_semi").select("source", "target", "kind", "line", "col")
+
+
+def t09_change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes gathered into one message an hour: how many files, and whether more than 200 leave the list out."""
+    changes = table_stream(spark, sf_dir, "files").where("path is not null")
+    hour = F.floor(F.col("indexed_at") / 3_600_000).alias("hour")
+    folded = changes.groupBy(hour).agg(F.count(F.lit(1)).alias("n_changes"))
+    return drained(folded, Scratch(spark, "t09")).withColumn("listed", F.col("n_changes") <= 200)
+
+
+def t11_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a path that say the same, folded in the stream."""
+    changes = table_stream(spark, sf_dir, "files").where("path is not null").select("path", "indexed_at", "content_hash")
+    return drained(changes.dropDuplicates(), Scratch(spark, "t11"), "append")
 
 
 def t06_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +184,11 @@ def w10_counter_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.round(delta, 4).alias("delta"))
 
 
-QUERIES = {f.__name__: f for f in (t02_pending_changes, t03_debounced_sessions, t05_incremental_sync, t06_reconciliation, t10_usage_counters, w10_counter_deltas)}
+QUERIES = {f.__name__: f for f in (t02_pending_changes, t03_debounced_sessions, t05_incremental_sync, t08_reopened_edges, t09_change_events, t11_duplicates, t06_reconciliation, t10_usage_counters, w10_counter_deltas)}
 ORACLE = {
+    "t08_reopened_edges": with_sql("SELECT source, target, kind, line, col FROM x WHERE kind <> 'contains' AND coalesce(provenance, '') <> 'heuristic' AND t_name IN (SELECT name FROM (SELECT file_path, name, bool_or(updated_at > (SELECT median(updated_at) FROM n)) AS late, bool_or(updated_at <= (SELECT median(updated_at) FROM n)) AS early FROM n GROUP BY file_path, name) WHERE late <> early)"),
+    "t09_change_events": "SELECT indexed_at // 3600000 AS hour, count(*) AS n_changes, count(*) <= 200 AS listed FROM files WHERE path IS NOT NULL GROUP BY 1",
+    "t11_duplicates": "SELECT DISTINCT path, indexed_at, content_hash FROM files WHERE path IS NOT NULL",
     "t02_pending_changes": "SELECT path, min(indexed_at) AS first_seen, max(indexed_at) AS last_seen, count(*) AS n_changes FROM files WHERE path IS NOT NULL GROUP BY path",
     "t03_debounced_sessions": "SELECT user_id, min(ts) AS first_ts, count(*) AS n_events FROM (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE ts IS NOT NULL)) GROUP BY user_id, s",
     "t05_incremental_sync": "SELECT path, content_hash, indexed_at FROM files WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY indexed_at DESC) = 1",

@@ -12,7 +12,7 @@ from codeloom.sources import extract
 from verify import TABLES, norm
 
 SF = "/root/testdata/sf0.001"
-NAMES = "p1_found p1_descendants p2_found p2_key_counts a02_distributions a03_fan_counts a11_module_links a25_relations f22_stale_files sk02_edge_dedup sk06_delete_cascade j14_enclosing_symbols u06_line_coverage g09_impact g15_dead_code_report g25_random_walk s02_bm25 s07_rescored r14_admission y02_structural_implements t03_debounced_sessions t05_incremental_sync t10_usage_counters s22_budget".split()
+NAMES = [name for part in entry.PARTS for name in part.ORACLE]
 
 
 @pytest.fixture(scope="module")
