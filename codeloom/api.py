@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as X
-from codeloom.operators import readers, resolve, search, traversal
+from codeloom.operators import deadcode, evaluation, imports, passes, readers, resolve, retrieval, search, traversal, walks
 from codeloom.operators.hierarchy import hierarchy
+from codeloom.operators.index import SearchIndex
 from codeloom.operators.store import GraphStore, delete_files
 from codeloom.plans.scratch import Scratch
+from codeloom.sources import extract
 
 
 class CodeGraph:
@@ -104,6 +106,37 @@ class CodeGraph:
         links = self.store.edges.where("kind = 'contains'").select("source", "target")
         return hierarchy(links, self._scratch(), what)
 
+    def dead_code_report(self) -> DataFrame:
+        """(id, reason) of all unused symbols: one of 17 reasons that spare them, or dead."""
+        return deadcode.report(self.store, self._scratch())
+
+    def routes(self) -> DataFrame:
+        return walks.routes(self.store)
+
+    def file_neighbours(self, path: str) -> DataFrame:
+        """Files that a file depends on and files that depend on it."""
+        pairs = readers.file_pairs(self.store)
+        into = pairs.where(F.col("t_file_path") == path).select(F.col("s_file_path").alias("path"), F.lit("dependent").alias("direction"))
+        return into.unionByName(pairs.where(F.col("s_file_path") == path).select(F.col("t_file_path").alias("path"), F.lit("dependency").alias("direction"))).distinct()
+
+    def synthesized_edges(self) -> DataFrame:
+        return passes.merged_passes(self.store)
+
+    def extracted(self) -> dict[str, DataFrame]:
+        """Symbols, containment and references of the stored texts."""
+        texts = self.store.raw("source_files").select("path", "language", "content").distinct()
+        return {"nodes": extract.extract(texts), "edges": extract.extract_containment(texts), "references": extract.extract_references(texts)}
+
+    def imports(self) -> DataFrame:
+        return imports.imports(self.store)
+
+    def metadata(self) -> DataFrame:
+        return evaluation.index_metadata(self.store)
+
+    def listing(self) -> str:
+        """The tree of files, as text; for the paths of one repository, not of a corpus."""
+        return evaluation.render_tree([r[0] for r in self.store.files.select("path").toLocalIterator()])
+
     # Search and resolution
 
     def search(self, text: str, limit: int = 20, kinds: Iterable[str] = (), languages: Iterable[str] = ()) -> DataFrame:
@@ -114,6 +147,19 @@ class CodeGraph:
             return nodes.orderBy("name", "id").limit(limit).select("id", F.lit(1.0).alias("score"))
         return search.bm25(nodes, terms).orderBy(F.desc("score"), "id").limit(limit)
 
+    def search_index(self) -> SearchIndex:
+        """Postings written once, for many searches."""
+        return SearchIndex.build(self.store.nodes, self._scratch())
+
+    def find(self, text: str, limit: int = 20) -> DataFrame:
+        """A search with fields (kind:, lang:, path:, name:); without text the names in order."""
+        fields = retrieval.parse_query(retrieval.normal_spelling(text))
+        nodes = self.store.nodes.where(retrieval.field_filter(fields))
+        terms = search.search_terms(fields["text"])
+        if not terms:
+            return nodes.select("id", F.lit(1.0).alias("score"), "name").orderBy("name", "id").limit(limit).select("id", "score")
+        return search.bm25(nodes, terms).orderBy(F.desc("score"), "id").limit(limit)
+
     def resolve(self, least: float = 0.5) -> DataFrame:
         return resolve.new_edges(self.store, least)
 

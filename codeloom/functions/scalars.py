@@ -83,16 +83,16 @@ def name_tail(name: Column) -> Column:
 
 
 def segments(name: Column) -> Column:
-    """The distinct words of an identifier: humps and separators cut, lower case, 2 to 32 characters, no bare numbers, twelve at most."""
-    humps = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    parts = F.split(F.lower(F.regexp_replace(humps, r"[^A-Za-z0-9]+", " ")), " ")
-    return F.slice(F.array_distinct(F.filter(parts, lambda w: (F.length(w) >= 2) & (F.length(w) <= 32) & ~w.rlike(r"^\d+$"))), 1, 12)
+    """The distinct words of an identifier in any script: humps and separators cut, lower case, 2 to 32 characters, no bare numbers, twelve at most."""
+    humps = F.regexp_replace(F.regexp_replace(name, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), r"(\p{Lu}+)(\p{Lu}\p{Ll})", "$1 $2")
+    parts = F.split(F.lower(F.regexp_replace(humps, r"[^\p{L}\p{N}]+", " ")), " ")
+    return F.slice(F.array_distinct(F.filter(parts, lambda w: (F.length(w) >= 2) & (F.length(w) <= 32) & ~w.rlike(r"^\p{N}+$"))), 1, 12)
 
 
 def segment_sql(name: str) -> str:
     """DuckDB's text of ``segments``."""
-    humps = rf"regexp_replace(regexp_replace({name}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')"
-    return rf"list_distinct(list_filter(string_split(lower(regexp_replace({humps}, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 2 AND length(w) <= 32 AND NOT regexp_matches(w, '^\d+$')))"
+    humps = rf"regexp_replace(regexp_replace({name}, '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g')"
+    return rf"list_slice(list_distinct(list_filter(string_split(lower(regexp_replace({humps}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda w: length(w) >= 2 AND length(w) <= 32 AND NOT regexp_matches(w, '^\p{{N}}+$'))), 1, 12)"
 
 
 def plurals(word: Column) -> Column:
@@ -130,6 +130,13 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
+def name_glob_pattern(glob: str) -> str:
+    """A glob over names (* any run, ? any character) as an anchored pattern."""
+    import re
+
+    return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob) + "$"
+
+
 def proximity(a: Column, b: Column) -> Column:
     """15 for every leading folder that two paths share, 80 at most."""
     fa, fb = F.split(a, "/"), F.split(b, "/")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as X
-from codeloom.operators.store import GraphStore, delete_files, mark_failed, with_sql
+from codeloom.operators.store import GraphStore, current_nodes, delete_files, mark_failed, upsert, with_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,10 +89,10 @@ def kind_language(g, kinds=("function", "method"), languages=("go", "rust")):
     return g.nodes.where(F.col("kind").isin(*kinds) & F.col("language").isin(*languages)).select("id")
 
 
-@query("f09_qualified_glob", "SELECT id, qualified_name FROM n WHERE kind IN ('function','method','class','struct','interface','enum','type_alias','constant') AND regexp_matches(qualified_name, '^.*::[^.]*Service\\..*$')")
-def qualified_glob(g):
+@query("f09_qualified_glob", "SELECT id, qualified_name FROM n WHERE kind IN ('function','method','class','struct','interface','enum','type_alias','constant') AND regexp_matches(qualified_name, '^.*::.*Session[.].*$')")
+def qualified_glob(g, glob: str = "*::*Session.*"):
     named = ("function", "method", "class", "struct", "interface", "enum", "type_alias", "constant")
-    return g.nodes.where(F.col("kind").isin(*named) & F.col("qualified_name").rlike(r"^.*::[^.]*Service\..*$")).select("id", "qualified_name")
+    return g.nodes.where(F.col("kind").isin(*named) & F.col("qualified_name").rlike(X.name_glob_pattern(glob))).select("id", "qualified_name")
 
 
 @query("f10_file_glob", "SELECT path FROM f WHERE regexp_matches(path, '^(?:.*/)?src/(?:.*/)?[^/]*\\.py$')")
@@ -159,9 +159,9 @@ def recent_files(g, window_ms: int = 86_400_000, limit: int = 50):
     return g.files.where(F.col("indexed_at") > newest - window_ms).orderBy(F.desc("indexed_at"), "path").limit(limit).select("path", "indexed_at")
 
 
-@query("f24_structural_subgraph", "SELECT source, target, kind, line, col FROM x WHERE s_kind IN ('class', 'interface', 'struct') AND t_kind IN ('class', 'interface', 'struct')")
-def structural_subgraph(g, kinds=("class", "interface", "struct")):
-    """Edges induced by the nodes of some kinds."""
+@query("f24_structural_subgraph", "SELECT source, target, kind, line, col FROM x WHERE s_kind IN ('file', 'module', 'class', 'struct', 'union', 'interface', 'trait', 'function', 'method', 'variable', 'constant', 'enum', 'type_alias') AND t_kind IN ('file', 'module', 'class', 'struct', 'union', 'interface', 'trait', 'function', 'method', 'variable', 'constant', 'enum', 'type_alias')")
+def structural_subgraph(g, kinds=("file", "module", "class", "struct", "union", "interface", "trait", "function", "method", "variable", "constant", "enum", "type_alias")):
+    """Edges induced by the nodes of structural kinds."""
     ids = g.nodes.where(F.col("kind").isin(*kinds)).select("id")
     inside = g.edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
     return inside.select("source", "target", "kind", "line", "col")
@@ -172,7 +172,11 @@ def structural_subgraph(g, kinds=("class", "interface", "struct")):
 
 @query("sk01_node_upsert", "SELECT id, kind, name, updated_at FROM n")
 def node_upsert(g):
-    return g.nodes.select("id", "kind", "name", "updated_at")
+    """The later half of the rows written over the earlier half by id: the same as all rows at once."""
+    raw = g.raw("nodes")
+    cut = raw.agg(F.median("updated_at")).first()[0] or 0
+    early, late = (current_nodes(raw.where(c)) for c in (F.col("updated_at") <= cut, F.col("updated_at") > cut))
+    return upsert(early, late, "id").select("id", "kind", "name", "updated_at")
 
 
 @query("sk02_edge_dedup", "SELECT source, target, kind, line, col, metadata, provenance FROM e")
