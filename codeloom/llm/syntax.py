@@ -49,6 +49,7 @@ class Grammar:
 
     name = ""
     keywords = ""
+    last_cut: tuple = (None, None, [])
     #: Pattern of what is skipped or taken whole before words and operators.
     special = ""
     string_starts = "\"'`"
@@ -109,7 +110,11 @@ class Grammar:
         return _NUMBER.fullmatch(text) is not None
 
     def tokens(self, text: str) -> str:
-        return self.settle("".join(map(self.table.__getitem__, self.token.findall(text))))
+        # Grammars that cut alike read one text one after the other: the last cut is kept.
+        last = Grammar.last_cut
+        if last[0] is not self.token or last[1] is not text:
+            last = Grammar.last_cut = (self.token, text, self.token.findall(text))
+        return self.settle("".join(map(self.table.__getitem__, last[2])))
 
     def settle(self, tokens: str) -> str:
         return tokens
