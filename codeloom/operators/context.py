@@ -134,9 +134,9 @@ def mention_counts(g, scratch):
     return g.nodes.where("kind = 'function'").select("name").distinct().join(counts, "name", "left").select("name", F.coalesce("c", F.lit(0)).cast("long").alias("mentions"))
 
 
-@query("g22_directed_flow", "SELECT a.root AS source, b.root AS target, min(a.depth + b.depth)::INTEGER AS hops FROM go a JOIN up b ON b.id = a.id GROUP BY a.root, b.root", _CALLERS.replace("seeds AS", "starts AS") + ", " + _SEEDS.replace("seeds AS", "goals AS") + ", " + _reach_sql("SELECT source AS a, target AS b FROM e WHERE kind IN ('calls', 'navigates')", 2, "starts") + ", " + _reach_sql("SELECT target AS a, source AS b FROM e WHERE kind IN ('calls', 'navigates')", 2, "goals").replace("go AS", "up AS").replace("go.", "up.").replace("FROM go ", "FROM up "), recursive=True)
-def directed_flow(g, scratch, depth: int = 2):
-    """Least hops from busy callers to depended-on nodes, met in the middle."""
+@query("g22_directed_flow", "SELECT a.root AS source, b.root AS target, min(a.depth + b.depth)::INTEGER AS hops FROM go a JOIN up b ON b.id = a.id GROUP BY a.root, b.root", _CALLERS.replace("seeds AS", "starts AS") + ", " + _SEEDS.replace("seeds AS", "goals AS") + ", " + _reach_sql("SELECT source AS a, target AS b FROM e WHERE kind IN ('calls', 'navigates')", 6, "starts") + ", " + _reach_sql("SELECT target AS a, source AS b FROM e WHERE kind IN ('calls', 'navigates')", 6, "goals").replace("go AS", "up AS").replace("go.", "up.").replace("FROM go ", "FROM up "), recursive=True)
+def directed_flow(g, scratch, depth: int = 6):
+    """Least hops, up to twelve, from busy callers to depended-on nodes, met in the middle: six levels from either side."""
     calls = g.edges.where("kind in ('calls', 'navigates')")
     out = reach(busy_callers(g), _links(calls), depth, scratch).select(F.col("root").alias("source"), "id", F.col("depth").alias("d1"))
     back = reach(seeds(g), _links(calls, True), depth, scratch).select(F.col("root").alias("target"), "id", F.col("depth").alias("d2"))

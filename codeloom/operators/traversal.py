@@ -329,9 +329,13 @@ def file_outline(g, scratch):
 def weak_components(g, scratch):
     """Sizes of the connected parts of the type hierarchy, each named by its least node."""
     links = scratch.spool(g.edges.where("kind in ('extends', 'implements')").select("source", "target").distinct())
-    ends = links.select(F.col("source").alias("id")).union(links.select("target")).distinct()
-    comps = connected_components(links.select(F.xxhash64("source").alias("a"), F.xxhash64("target").alias("b")), scratch)
-    named = ends.withColumn("v", F.xxhash64("id")).join(comps, "v")
+    ends = scratch.spool(links.select(F.col("source").alias("id")).union(links.select("target")).distinct())
+    seed = 0
+    number = lambda c: F.xxhash64(F.lit(seed), c)
+    while ends.select(number("id").alias("v")).distinct().count() != ends.count():
+        seed += 1  # two ids of one number would join their parts
+    comps = connected_components(links.select(number("source").alias("a"), number("target").alias("b")), scratch)
+    named = ends.withColumn("v", number("id")).join(comps, "v")
     return named.groupBy("comp").agg(F.min("id").alias("component"), count_rows().alias("n_nodes")).select("component", "n_nodes")
 
 
