@@ -153,10 +153,13 @@ def stale_files(g):
     return g.files.join(observed, "path").where("content_hash <> now").select("path")
 
 
-@query("f23_recent_files", "SELECT path, indexed_at FROM f WHERE indexed_at > (SELECT max(indexed_at) - 86400000 FROM f) ORDER BY indexed_at DESC, path LIMIT 50")
+@query("f23_recent_files", "SELECT path, indexed_at, (SELECT count(*) FROM f WHERE indexed_at > (SELECT max(indexed_at) - 86400000 FROM f)) AS total FROM f WHERE indexed_at > (SELECT max(indexed_at) - 86400000 FROM f) ORDER BY indexed_at DESC, path LIMIT 50")
 def recent_files(g, window_ms: int = 86_400_000, limit: int = 50):
+    """The files indexed last, and how many there are in the window."""
     newest = g.files.agg(F.max("indexed_at").alias("m")).first()["m"] or 0
-    return g.files.where(F.col("indexed_at") > newest - window_ms).orderBy(F.desc("indexed_at"), "path").limit(limit).select("path", "indexed_at")
+    rows = g.files.where(F.col("indexed_at") > newest - window_ms)
+    total = rows.count()
+    return rows.orderBy(F.desc("indexed_at"), "path").limit(limit).select("path", "indexed_at", F.lit(total).cast("long").alias("total"))
 
 
 @query("f24_structural_subgraph", "SELECT source, target, kind, line, col FROM x WHERE s_kind IN ('file', 'module', 'class', 'struct', 'union', 'interface', 'trait', 'function', 'method', 'variable', 'constant', 'enum', 'type_alias') AND t_kind IN ('file', 'module', 'class', 'struct', 'union', 'interface', 'trait', 'function', 'method', 'variable', 'constant', 'enum', 'type_alias')")
@@ -336,12 +339,14 @@ def module_links(g):
     return rows.groupBy("from_module", "to_module").agg(when(_SURE).alias("confident"), when(f"{_SURE} and {_DECLARED}").alias("declared"), when(f"not {_SURE}").alias("uncertain"))
 
 
-@query("w01_top_pairs_per_link", "SELECT from_module, to_module, s_file, t_file, n_edges FROM (SELECT *, row_number() OVER (PARTITION BY from_module, to_module ORDER BY n_edges DESC, s_file, t_file) AS rank FROM (SELECT array_to_string(list_slice(string_split(s_file, '/'), 1, 2), '/') AS from_module, array_to_string(list_slice(string_split(t_file, '/'), 1, 2), '/') AS to_module, s_file, t_file, count(*) AS n_edges FROM x WHERE kind <> 'contains' GROUP BY ALL) WHERE from_module <> to_module) WHERE rank <= 3")
+@query("w01_top_pairs_per_link", f"SELECT from_module, to_module, s_file, t_file, n_declared, n_edges FROM (SELECT *, row_number() OVER (PARTITION BY from_module, to_module ORDER BY n_declared DESC, n_edges DESC, s_file, t_file) AS rank FROM (SELECT array_to_string(list_slice(string_split(s_file, '/'), 1, 2), '/') AS from_module, array_to_string(list_slice(string_split(t_file, '/'), 1, 2), '/') AS to_module, s_file, t_file, count_if({_SURE} AND {_DECLARED}) AS n_declared, count(*) AS n_edges FROM x WHERE kind <> 'contains' GROUP BY ALL) WHERE from_module <> to_module) WHERE rank <= 3")
 def top_pairs(g, k: int = 3):
-    pairs = g.located().where("kind <> 'contains'").groupBy("s_file_path", "t_file_path").agg(count_rows().alias("n_edges"))
+    """The pairs of files behind each link of modules, those with the most declared edges first."""
+    declared = F.count_if(F.expr(f"{_SURE} and {_DECLARED}"))
+    pairs = g.located().where("kind <> 'contains'").groupBy("s_file_path", "t_file_path").agg(declared.alias("n_declared"), count_rows().alias("n_edges"))
     pairs = pairs.withColumn("from_module", module_of("s_file_path")).withColumn("to_module", module_of("t_file_path")).where("from_module <> to_module")
-    rank = F.row_number().over(Window.partitionBy("from_module", "to_module").orderBy(F.desc("n_edges"), "s_file_path", "t_file_path"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("from_module", "to_module", F.col("s_file_path").alias("s_file"), F.col("t_file_path").alias("t_file"), "n_edges")
+    rank = F.row_number().over(Window.partitionBy("from_module", "to_module").orderBy(F.desc("n_declared"), F.desc("n_edges"), "s_file_path", "t_file_path"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("from_module", "to_module", F.col("s_file_path").alias("s_file"), F.col("t_file_path").alias("t_file"), "n_declared", "n_edges")
 
 
 @query("a12_confident_file_pairs", f"SELECT DISTINCT s_file, t_file FROM x WHERE kind <> 'contains' AND s_file <> t_file AND {_SURE}")
@@ -354,6 +359,17 @@ def dominant_files(g, limit: int = 20):
     return g.located().where("kind <> 'contains' and s_file_path = t_file_path").groupBy(F.col("s_file_path").alias("path")).agg(count_rows().alias("n_edges")).orderBy(F.desc("n_edges"), "path").limit(limit)
 
 
+@query("a14_dominant_pick", "SELECT path, n_edges, coalesce(next, 0) AS next_edges FROM (SELECT path, n_edges, lead(n_edges) OVER (ORDER BY n_edges DESC, path) AS next, row_number() OVER (ORDER BY n_edges DESC, path) AS place FROM (SELECT * FROM (SELECT s_file AS path, count(*) AS n_edges FROM x WHERE s_file = t_file GROUP BY s_file ORDER BY n_edges DESC, path LIMIT 20) c WHERE NOT regexp_matches(path, '" + X.TEST_PATH + "') AND path NOT IN (SELECT path FROM f WHERE generated))) WHERE place = 1 AND n_edges >= 20")
+def dominant_pick(g, candidates: int = 20, floor: int = 20):
+    """The file with the most edges inside itself that is neither a test nor generated, if it has enough, and the next one's count."""
+    counts = g.located().where("s_file_path = t_file_path").groupBy(F.col("s_file_path").alias("path")).agg(count_rows().alias("n_edges"))
+    top = counts.orderBy(F.desc("n_edges"), "path").limit(candidates)
+    good = top.where(~X.is_test_path(F.col("path"))).join(g.files.where("generated").select("path"), "path", "left_anti")
+    order = Window.orderBy(F.desc("n_edges"), "path")  # at most twenty rows
+    ranked = good.select("path", "n_edges", F.coalesce(F.lead("n_edges").over(order), F.lit(0)).alias("next_edges"), F.row_number().over(order).alias("place"))
+    return ranked.where((F.col("place") == 1) & (F.col("n_edges") >= floor)).drop("place")
+
+
 @query("a17_segment_frequency", f"SELECT segment, count(*) AS n_names FROM (SELECT unnest({X.segment_sql('name')}) AS segment FROM (SELECT DISTINCT name FROM n WHERE kind NOT IN ('file', 'import'))) GROUP BY segment")
 def segment_frequency(g):
     return vocabulary(g).groupBy("segment").agg(count_rows().alias("n_names"))
@@ -392,6 +408,13 @@ def directory_layout(g):
     return g.files.groupBy(X.dirname(F.col("path")).alias("directory")).agg(count_rows().alias("n_files"), F.min("path").alias("first_file"))
 
 
+@query("a22_directory_files", "SELECT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS directory, path, row_number() OVER (PARTITION BY CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END ORDER BY path) AS place FROM f")
+def directory_files(g):
+    """The files of every folder in the order of their paths; a row each, so a folder of any size is no single value."""
+    folder = X.dirname(F.col("path"))
+    return g.files.select(folder.alias("directory"), "path", F.row_number().over(Window.partitionBy(folder).orderBy("path")).cast("long").alias("place"))
+
+
 @query("a23_modules", "SELECT array_to_string(list_slice(string_split(path, '/'), 1, 2), '/') AS module, count(*) AS n_files FROM f GROUP BY 1")
 def modules(g):
     return g.files.groupBy(module_of("path").alias("module")).agg(count_rows().alias("n_files"))
@@ -413,6 +436,13 @@ def outside_index(g):
     return g.refs.groupBy("reference_kind", "status").agg(count_rows().alias("n_refs"), F.countDistinct("reference_name").alias("n_names"))
 
 
+@query("a27_samples", "SELECT from_node_id, reference_name, reference_kind, line, col FROM r WHERE line IS NOT NULL ORDER BY line, col, from_node_id, reference_name, reference_kind LIMIT 40")
+def outside_samples(g, most: int = 40):
+    """The first references out of the index by line and column."""
+    keys = ("line", "col", "from_node_id", "reference_name", "reference_kind")
+    return g.refs.where("line is not null").orderBy(*(F.asc_nulls_last(k) for k in keys)).limit(most).select("from_node_id", "reference_name", "reference_kind", "line", "col")
+
+
 @query("a29_call_groups", "SELECT source AS owner, target, count(*) AS n_calls, min(line) AS first_line FROM e WHERE kind = 'calls' GROUP BY 1, 2")
 def call_groups(g):
     return g.edges.where("kind = 'calls'").groupBy(F.col("source").alias("owner"), "target").agg(count_rows().alias("n_calls"), F.min("line").alias("first_line"))
