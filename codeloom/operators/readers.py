@@ -493,6 +493,24 @@ def untracked_sources(g):
     return g.files.join(g.raw("source_files").select("path"), "path", "left_anti").select("path")
 
 
+_LINES_SQL = "SELECT DISTINCT file_path, unnest(generate_series(start_line, end_line)) AS line FROM n WHERE kind IN ('{}') AND start_line <= end_line"
+
+
+@query("u06_line_difference", "SELECT file_path, min(line)::INTEGER AS first_line, max(line)::INTEGER AS last_line FROM (SELECT file_path, line, line - row_number() OVER (PARTITION BY file_path ORDER BY line) AS island FROM (SELECT * FROM (" + _LINES_SQL.format("class', 'struct") + ") EXCEPT SELECT * FROM (" + _LINES_SQL.format("method") + "))) GROUP BY file_path, island")
+def line_difference(g):
+    """Ranges of lines of types outside of their methods: a sweep over the ends of both kinds of ranges, no line by line."""
+    rows = g.nodes.where("kind in ('class', 'struct', 'method') and start_line <= end_line")
+    step = F.when(F.col("kind") == "method", 0).otherwise(1)
+    opening = rows.select("file_path", F.col("start_line").alias("at"), step.alias("a"), (1 - step).alias("b"))
+    closing = rows.select("file_path", (F.col("end_line") + 1).alias("at"), (-step).alias("a"), (step - 1).alias("b"))
+    events = opening.unionByName(closing).groupBy("file_path", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    order = Window.partitionBy("file_path").orderBy("at")
+    swept = events.select("file_path", "at", F.sum("a").over(order).alias("a"), F.sum("b").over(order).alias("b")).withColumn("inside", (F.col("a") > 0) & (F.col("b") == 0))
+    turns = swept.withColumn("before", F.coalesce(F.lag("inside").over(order), F.lit(False))).where("inside <> before")
+    ends = turns.withColumn("next", F.lead("at").over(order)).where("inside")
+    return ends.select("file_path", F.col("at").alias("first_line"), (F.col("next") - 1).alias("last_line"))
+
+
 @query("u06_line_coverage", "SELECT file_path, sum(last - first + 1)::BIGINT AS covered FROM (SELECT file_path, island, min(start_line) AS first, max(end_line) AS last FROM (SELECT *, sum(CASE WHEN start_line > coalesce(before, -1) + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY start_line, end_line, id) AS island FROM (SELECT id, file_path, start_line, end_line, max(end_line) OVER (PARTITION BY file_path ORDER BY start_line, end_line, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM n WHERE kind IN ('function', 'method') AND start_line <= end_line)) GROUP BY ALL) GROUP BY file_path")
 def line_coverage(g):
     """Lines of each file that functions cover: the union of their ranges by gaps and islands."""

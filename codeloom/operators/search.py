@@ -75,11 +75,13 @@ def bm25_top(g, text: str = " ".join(TERMS), limit: int = 100):
     return scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
-@query("s03_like_fallback", "SELECT id, CASE WHEN name = 'cache' THEN 1.0 WHEN lower(name) LIKE 'cache%' THEN 0.9 WHEN lower(name) LIKE '%cache%' THEN 0.8 WHEN lower(qualified_name) LIKE '%cache%' THEN 0.7 ELSE 0.5 END::DOUBLE AS score FROM n WHERE lower(name) LIKE '%cache%' OR lower(qualified_name) LIKE '%cache%'")
-def like_fallback(g, text: str = "cache"):
-    name, qualified = F.lower("name"), F.lower("qualified_name")
-    score = F.when(F.col("name") == text, 1.0).when(name.startswith(text), 0.9).when(name.contains(text), 0.8).when(qualified.contains(text), 0.7).otherwise(0.5)
-    return g.nodes.where(name.contains(text) | qualified.contains(text)).select("id", score.alias("score"))
+@query("s03_like_fallback", "SELECT id, CASE WHEN name = 'cac_e' THEN 1.0 WHEN name ILIKE 'cac_e%' THEN 0.9 WHEN name ILIKE '%cac_e%' THEN 0.8 WHEN qualified_name ILIKE '%cac_e%' THEN 0.7 ELSE 0.5 END::DOUBLE AS score FROM n WHERE name ILIKE '%cac_e%' OR qualified_name ILIKE '%cac_e%' ORDER BY 2 DESC, length(name), id LIMIT 100")
+def like_fallback(g, text: str = "cac_e", limit: int = 20):
+    """Substring hits where no word starts with the text; % and _ in it stand for any characters, as in LIKE."""
+    name, qualified = F.col("name"), F.col("qualified_name")
+    score = F.when(name == text, 1.0).when(name.ilike(f"{text}%"), 0.9).when(name.ilike(f"%{text}%"), 0.8).when(qualified.ilike(f"%{text}%"), 0.7).otherwise(0.5)
+    rows = g.nodes.where(name.ilike(f"%{text}%") | qualified.ilike(f"%{text}%"))
+    return rows.select("id", score.alias("score"), F.length("name").alias("len")).orderBy(F.desc("score"), "len", "id").limit(5 * limit).select("id", "score")
 
 
 @query("s04_fuzzy", """SELECT name, d AS distance, 1.0 / (1 + d) AS score, id FROM (SELECT *, dense_rank() OVER (ORDER BY d, name) AS place, row_number() OVER (PARTITION BY name ORDER BY id) AS nth FROM
