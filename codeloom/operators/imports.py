@@ -17,7 +17,7 @@ from codeloom.operators.resolve import _KEY, _Q, FAMILIES, named_refs
 from codeloom.operators.store import GraphStore, with_sql
 from codeloom.operators.traversal import reach
 from codeloom.plans.scratch import Scratch
-from codeloom.sources.extract import extract_references
+from codeloom.sources.extract import extract, extract_containment, extract_receivers, extract_references
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -175,3 +175,29 @@ def deferred_calls(g):
     made = made.join(g.nodes.where("kind in ('class', 'struct')").select(F.col("id").alias("owner"), F.col("name").alias("type_name")), "owner")
     calls = made.join(members.select("owner", F.col("name").alias("member")), "owner").select("caller", "type_name", "member").distinct()
     return through_supertypes(calls, types, g.edges.where("kind in ('extends', 'implements')"), members, Scratch(g.spark, "r16"))
+
+
+def receiver_calls(files: DataFrame, scratch: Scratch) -> DataFrame:
+    """Calls on a variable, or on the own object, whose type the function tells: to the member of that type or the nearest one above.
+
+    ``files`` has path, language, content. caller, type_name, member, target, depth, all of the extracted graph.
+    """
+    nodes, refs = scratch.spool(extract(files)), scratch.spool(extract_references(files))
+    inside = scratch.spool(extract_containment(files).select(F.col("source").alias("owner"), F.col("target").alias("id")))
+    types = nodes.where("kind in ('class', 'struct', 'interface', 'trait', 'enum')").select("id", "name")
+    members = inside.join(nodes.where("kind in ('method', 'function')").select("id", "name"), "id")
+    named = types.groupBy(F.col("name").alias("reference_name")).agg(count_rows().alias("c"), F.min("id").alias("target")).where("c = 1")
+    supers = refs.where("reference_kind in ('extends', 'implements')").join(named, "reference_name").select(F.col("from_node_id").alias("source"), "target")
+    parts = F.split("reference_name", r"::|->|[.]")
+    calls = refs.where("reference_kind = 'calls'").where(F.size(parts) == 2).select("from_node_id", parts[0].alias("variable"), parts[1].alias("member"))
+    told = extract_receivers(files).groupBy("from_node_id", "variable").agg(F.count_distinct("type_name").alias("c"), F.min("type_name").alias("type_name")).where("c = 1")
+    by_variable = calls.join(told, ["from_node_id", "variable"]).select(F.col("from_node_id").alias("caller"), "type_name", "member")
+    owners = inside.select(F.col("id").alias("from_node_id"), F.col("owner").alias("id")).join(types, "id")
+    by_self = calls.where("variable in ('self', 'this', 'Self')").join(owners, "from_node_id").select(F.col("from_node_id").alias("caller"), F.col("name").alias("type_name"), "member")
+    return through_supertypes(by_variable.unionByName(by_self).distinct(), types, supers, members, scratch)
+
+
+@query("r09_receiver_calls")
+def receiver_call_query(g):
+    """Calls in the texts that the type of their receiver leads to a member."""
+    return receiver_calls(g.raw("source_files").select("path", "language", "content").distinct(), Scratch(g.spark, "r09"))

@@ -130,6 +130,19 @@ def extract_references(files: DataFrame) -> DataFrame:
     return _map_files(files, rows, "from_node_id string, reference_name string, reference_kind string, line int, col int, file_path string, language string", arrow)
 
 
+def extract_receivers(files: DataFrame) -> DataFrame:
+    """(from_node_id, variable, type_name) of variables whose type a function or the symbol round it tells."""
+
+    def rows(path, language, text):
+        found = structure.symbols(text, language)
+        for at, variable, kind in set(structure.typed_variables(text, language, found)):
+            if at is not None:
+                yield symbol_id(found[at].kind, path, found[at].name, found[at].start), variable, kind
+
+    arrow = pa.schema([(n, pa.string()) for n in ("from_node_id", "variable", "type_name")])
+    return _map_files(files, rows, "from_node_id string, variable string, type_name string", arrow)
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "source_files").select("path", "language", "content").distinct()
 

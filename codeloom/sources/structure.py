@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 
@@ -67,6 +67,15 @@ _SUPERS = {
     "java": re.compile(r"\b(extends|implements)\s+([\w.<>, ]+?)(?=\bimplements\b|\{|$)"),
 }
 LANGUAGES = tuple(_HEADS)
+# How a variable gets a type, by language: named groups v and t (or u).
+_TYPED = {
+    "python": re.compile(r"\b(?P<v>\w+)\s*=\s*(?:await\s+)?(?P<t>[A-Z]\w*)\(|\b(?P<w>\w+)\s*:\s*(?P<u>[A-Z]\w*)"),
+    "typescript": re.compile(r"\b(?:const|let|var)\s+(?P<v>\w+)\s*(?::[^=;\n]+)?=\s*(?:await\s+)?new\s+(?P<t>[A-Z]\w*)|\b(?P<w>\w+)\??\s*:\s*(?P<u>[A-Z]\w*)"),
+    "java": re.compile(r"\b(?P<t>[A-Z]\w*)(?:<[^;=()\n]*>)?\s+(?P<v>[a-z_]\w*)\s*(?=[=;,):])"),
+    "go": re.compile(r"\b(?P<v>\w+)\s*:?=\s*&?(?P<t>[A-Z]\w*)\{|\b(?P<w>[a-z]\w*)\s+\*?(?P<u>[A-Z]\w*)(?=[,)])"),
+    "rust": re.compile(r"\blet\s+(?:mut\s+)?(?P<v>\w+)\s*(?::[^=;\n]+)?=\s*(?P<t>[A-Z]\w*)(?=::|\s*\{|\()|\b(?P<w>\w+)\s*:\s*&?(?:'\w+\s+)?(?:mut\s+)?(?P<u>[A-Z]\w*)"),
+}
+_TYPED["javascript"] = _TYPED["typescript"]
 
 
 def blanked(text: str, language: str) -> str:
@@ -159,20 +168,26 @@ def _indented_end(lines: list[str], k: int) -> int:
     return last + 1
 
 
-def references(text: str, language: str, found: list[Symbol]) -> Iterator[Reference]:
-    """Imports, supertypes and calls of a text, with the innermost symbol round each."""
-    code = blanked(text, language)
-    starts = [0, *(m.end() for m in re.finditer("\n", code))]
-    heads = {(s.start, s.name) for s in found}
-
+def enclosing(found: list[Symbol]) -> Callable[[int], int | None]:
+    """The place of the innermost symbol round a line."""
     firsts = [s.start for s in found]
 
     def owner(line: int) -> int | None:
-        k = bisect_right(firsts, line) - 1
+        k: int | None = bisect_right(firsts, line) - 1
         while k is not None and k >= 0 and found[k].end < line:
             k = found[k].parent
         return k if k is not None and k >= 0 else None
 
+    return owner
+
+
+def references(text: str, language: str, found: list[Symbol]) -> Iterator[Reference]:
+    """Imports, supertypes and calls of a text, with the innermost symbol round each."""
+    code = blanked(text, language)
+    starts = [0, *(m.end() for m in re.finditer("\n", code))]
+    heads = {(s.start, s.name) for s in found}
+
+    owner = enclosing(found)
     pattern = _IMPORTS.get(language)
     if pattern:
         for m in pattern.finditer(text):
@@ -201,3 +216,18 @@ def references(text: str, language: str, found: list[Symbol]) -> Iterator[Refere
         at = owner(line)
         if at is not None:
             yield Reference(at, name, "instantiates" if code[m.start() : m.start(1)].strip() == "new" else "calls", line, m.start(1) - starts[line - 1])
+
+
+def typed_variables(text: str, language: str, found: list[Symbol]) -> Iterator[tuple[int | None, str, str]]:
+    """(place of the innermost symbol, variable, type name) of declarations and assignments that tell a variable's type."""
+    pattern = _TYPED.get(language)
+    if pattern is None:
+        return
+    code = blanked(text, language)
+    starts = [0, *(m.end() for m in re.finditer("\n", code))]
+    around = enclosing(found)
+    for m in pattern.finditer(code):
+        groups = m.groupdict()
+        variable, kind = groups.get("v") or groups.get("w"), groups.get("t") or groups.get("u")
+        if variable and kind and variable not in _KEYWORDS:
+            yield around(bisect_right(starts, m.start())), variable, kind

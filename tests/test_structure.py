@@ -5,6 +5,7 @@ import random
 import pytest
 
 from codeloom.operators.hierarchy import hierarchy
+from codeloom.operators.imports import receiver_calls
 from codeloom.plans.scratch import Scratch
 from codeloom.sources import structure as S
 from codeloom.sources.extract import extract, extract_containment, extract_references
@@ -59,3 +60,12 @@ def test_components_of_any_size_give_the_same_rows(spark, what):
     small = sorted(map(str, hierarchy(df, Scratch(spark, "t"), what).collect()))
     huge = sorted(map(str, hierarchy(df, Scratch(spark, "t"), what, 0).collect()))
     assert small == huge and small
+
+
+def test_receivers(spark):
+    ts = "class B {\n  g() {}\n}\nclass A extends B {\n  f() {}\n  h() { this.g(); this.none(); }\n}\nfunction k(p: A) {\n  const x = new A(); x.f(); x.g(); p.f(); q.f();\n}\n"
+    py = "class C:\n    def m(self):\n        self.n()\n    def n(self): pass\ndef t(c: C, d):\n    e = C()\n    c.m(); e.n(); d.m()\n"
+    files = spark.createDataFrame([("a.ts", "typescript", ts), ("b.py", "python", py), ("c.go", "go", None)], "path string, language string, content string")
+    names = {r["id"]: r["name"] for r in extract(files).collect()}
+    found = {(names[r["caller"]], r["type_name"], names[r["target"]], r["depth"]) for r in receiver_calls(files, Scratch(spark, "t")).collect()}
+    assert found == {("h", "A", "g", 1), ("k", "A", "f", 0), ("k", "A", "g", 1), ("m", "C", "n", 0), ("t", "C", "m", 0), ("t", "C", "n", 0)}
